@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import epoch_ms, instant, lit_ts, time_distance
 from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER
+from ..session import scratch_path
 from .predicates import match
 
 
@@ -98,12 +99,18 @@ def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, part
     picks its chunk, and one aggregation yields ``chunk, n, first_* , last_*``. No single-partition window.
     """
     rows = match(df, **conditions).select(*order)
-    parts = partitions or max(n, rows.sparkSession.sparkContext.defaultParallelism)
+    spark = rows.sparkSession
+    parts = partitions or max(n, spark.sparkContext.defaultParallelism)
     ranked = (rows.repartitionByRange(parts, *_asc(order)).sortWithinPartitions(*_asc(order))
               .withColumn("_mid", F.monotonically_increasing_id()))
     # documented layout of monotonically_increasing_id: partition id in the upper 31 bits
     ranked = ranked.select(*order, F.shiftright("_mid", 33).alias("_pid"),
                            F.col("_mid").bitwiseAND((1 << 33) - 1).alias("_pos"))
+    # range boundaries are sampled per job, so the positions are written once (a table in the shared
+    # folder) and both the counts and the chunk assignment read that copy
+    path = scratch_path(spark, "chunk-plan")
+    ranked.write.parquet(path)
+    ranked = spark.read.parquet(path)
     counts = sorted((r["_pid"], r["c"]) for r in ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, total = {}, 0
     for pid, c in counts:

@@ -377,7 +377,7 @@ def _capture_cols(df: DataFrame) -> DataFrame:
 @register("parse_cdx", W(f"""
 SELECT {_PARSED_COLS} FROM captures WHERE {_CLEAN}"""))
 def q_parse_cdx(spark, sf_dir):
-    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("value")
+    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("line_mid", "value")
     return _capture_cols(cdx.accepted(cdx.parse_cdx(lines)))
 
 
@@ -387,7 +387,7 @@ SELECT CASE WHEN event_id % 97 = 0 THEN 'column_count' WHEN event_id % 89 = 0 TH
             ELSE 'accepted' END AS status, count(*) AS n
 FROM captures GROUP BY 1"""))
 def q_reject_summary(spark, sf_dir):
-    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("value")
+    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("line_mid", "value")
     return cdx.reject_summary(cdx.parse_cdx(lines))
 
 

@@ -86,25 +86,25 @@ DAMAGE = (("column_count", 97), ("bad_response", 89), ("bad_offset", 83), ("bad_
 
 
 def cdx_lines(caps: DataFrame) -> DataFrame:
-    """``event_id, value``: one 11-token CDX line per capture, some damaged (see ``DAMAGE``)."""
+    """``event_id, line_mid, value``: one 11-token CDX line per capture, some damaged (see ``DAMAGE``)."""
     eid = F.col("event_id")
-    hit = {name: (eid % m == 0) for name, m in DAMAGE}
+    kind = None
+    for name, m in DAMAGE:  # first matching rule wins
+        kind = F.when(eid % m == 0, F.lit(name)) if kind is None else kind.when(eid % m == 0, F.lit(name))
+    hit = lambda name: F.col("_damage") == F.lit(name)
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     resp = F.when(F.col("response") == -1, F.lit("-")).otherwise(F.col("response").cast("string"))
-    stamp = ts14("date")
-    earlier = F.lit(False)
-    rules = {}
-    for name, _ in DAMAGE:
-        rules[name] = hit[name] & ~earlier
-        earlier = earlier | hit[name]
-    resp = (F.when(rules["bad_response"], F.lit("1.5")).when(rules["tbd_response"], F.lit("TBD"))
-            .otherwise(resp))
-    offset = F.when(rules["bad_offset"], F.lit("-")).otherwise(F.col("offset").cast("string"))
-    stamp = F.when(rules["bad_timestamp"], F.substring(stamp, 1, 4)).otherwise(stamp)
+    resp = F.when(hit("bad_response"), F.lit("1.5")).when(hit("tbd_response"), F.lit("TBD")).otherwise(resp)
+    offset = F.when(hit("bad_offset"), F.lit("-")).otherwise(F.col("offset").cast("string"))
+    stamp = F.col("_ts14")
+    stamp = F.when(hit("bad_timestamp"), F.substring(stamp, 1, 4)).otherwise(stamp)
     toks = [dash("url"), stamp, dash("ourl"), dash("mime"), resp, dash("newdigest"), dash("redirect"),
             F.lit("-"), F.lit("1024"), offset]
-    arc = F.when(rules["column_count"], F.lit(None)).otherwise(dash("arc"))
-    return caps.select("event_id", F.concat_ws(" ", *toks, arc).alias("value"))
+    arc = F.when(hit("column_count"), F.lit(None)).otherwise(dash("arc"))
+    tagged = caps.withColumn("_damage", kind).withColumn("_ts14", ts14("date"))
+    # like a file reader, the lines carry their position as delivered (``line_mid``)
+    return tagged.select("event_id", F.monotonically_increasing_id().alias("line_mid"),
+                         F.concat_ws(" ", *toks, arc).alias("value"))
 
 
 def requests(caps: DataFrame, shift_seconds: int = 3600) -> DataFrame:
