@@ -225,14 +225,18 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     )
     both = caps.unionByName(reqs)
     part = Window.partitionBy("url", "_b")
+    # Both are running frames (unbounded preceding .. previous row), which Spark evaluates in one pass;
+    # a frame reaching to unbounded following would be recomputed for every row.
     # last capture at or before the request: captures sort before requests at the same instant, and
     # among captures of one instant the smallest id comes last
     w_prev = part.orderBy("_ms", "_kind", F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # first capture at or after the request: requests sort first at the same instant, ids ascending
-    w_next = part.orderBy("_ms", F.col("_kind").desc(), "_id").rowsBetween(1, Window.unboundedFollowing)
+    # nearest later capture: the same walk backwards in time; requests first at an instant, and the
+    # smallest id comes last among captures of one instant
+    w_next = (part.orderBy(F.col("_ms").desc(), F.col("_kind").desc(), F.col("_id").desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
     win = both.select("url", "_b", "_kind", "_ms", "_cap", "_req",
                       F.last("_cap", ignorenulls=True).over(w_prev).alias("_prev"),
-                      F.first("_cap", ignorenulls=True).over(w_next).alias("_next"))
+                      F.last("_cap", ignorenulls=True).over(w_next).alias("_next"))
     in_bucket = win.where(F.col("_kind") == 1)
 
     # per-bucket first/last capture, then for every bucket holding requests the nearest non-empty
@@ -242,11 +246,13 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
                     F.min_by("_cap", F.struct(-F.col("_ms"), F.col("_id"))).alias("_last")))
     req_buckets = reqs.select("url", "_b").distinct()
     keyed = summary.join(req_buckets.withColumn("_q", F.lit(True)), ["url", "_b"], "full_outer")
-    by_url = Window.partitionBy("url").orderBy("_b")
+    # one row per (url, bucket) after the outer join, so "preceding rows" are the earlier buckets
+    earlier = Window.partitionBy("url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("url").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     fallback = keyed.select(
         "url", "_b", "_q",
-        F.last("_last", ignorenulls=True).over(by_url.rangeBetween(Window.unboundedPreceding, -1)).alias("_fprev"),
-        F.first("_first", ignorenulls=True).over(by_url.rangeBetween(1, Window.unboundedFollowing)).alias("_fnext"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_fprev"),
+        F.last("_first", ignorenulls=True).over(later).alias("_fnext"),
     ).where(F.col("_q"))
 
     j = in_bucket.join(fallback, ["url", "_b"], "left")

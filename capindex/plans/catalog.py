@@ -61,8 +61,13 @@ TGT_ROOT = "(SELECT array_to_string(string_split(sdomain, ',')[1:2], ',') FROM p
 TGT_PATH_PREFIX = "(SELECT split_part(path, '/', 1) || '/' FROM pk WHERE page_id = 0)"
 
 
-def caps_and_target(spark: SparkSession, sf_dir: str):
-    return A.captures(spark, sf_dir), A.target(spark, sf_dir)
+def _caps(spark: SparkSession, sf_dir: str, caps: DataFrame | None = None) -> DataFrame:
+    """The captures to query: a given DataFrame (e.g. the stored index) or the adapter over ``sf_dir``."""
+    return caps if caps is not None else A.captures(spark, sf_dir)
+
+
+def caps_and_target(spark: SparkSession, sf_dir: str, caps: DataFrame | None = None):
+    return _caps(spark, sf_dir, caps), A.target(spark, sf_dir)
 
 
 # ---- lookups -------------------------------------------------------------------------------------
@@ -70,8 +75,8 @@ def caps_and_target(spark: SparkSession, sf_dir: str):
 @register("lookup_exact", W(f"""
 SELECT id, ourl, ts14, mime, arc, "offset" FROM captures
 WHERE url = {TGT} AND epoch_s = (SELECT min(epoch_s) FROM captures WHERE url = {TGT})"""))
-def q_lookup_exact(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_lookup_exact(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     first = caps.where(F.col("url") == t.url).agg(F.min("date")).first()[0]  # the request: a known capture
     out = lookup.search(caps, url=t.url, at=first, columns=None, limit=None)
     return out.select("id", "ourl", ts14("date").alias("ts14"), "mime", "arc", "offset")
@@ -80,8 +85,8 @@ def q_lookup_exact(spark, sf_dir):
 @register("closest_capture", W(f"""
 SELECT ourl, ts14, id, abs({_e(T_CLOSEST)} - epoch_s) * 1000 AS distance_ms FROM captures
 WHERE url = {TGT} ORDER BY distance_ms, epoch_s, id LIMIT 1"""))
-def q_closest_capture(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_closest_capture(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     out = lookup.closest_capture(caps, t.url, T_CLOSEST)
     return out.select("ourl", ts14("date").alias("ts14"), "id", "distance_ms")
 
@@ -93,8 +98,8 @@ def q_closest_capture(spark, sf_dir):
          row_number() OVER (PARTITION BY r.rid ORDER BY abs(r.t - c.epoch_s), c.epoch_s, c.id) AS rn
   FROM req r JOIN captures c ON c.url = r.url)
 SELECT rid, t AS t_epoch_s, ts14, id, distance_ms FROM pairs WHERE rn = 1"""))
-def q_closest_bulk(spark, sf_dir):
-    caps = A.captures(spark, sf_dir)
+def q_closest_bulk(spark, sf_dir, caps=None):
+    caps = _caps(spark, sf_dir, caps)
     out = lookup.closest(A.requests(caps), caps)
     return out.select("rid", F.unix_seconds("t").alias("t_epoch_s"), ts14("date").alias("ts14"), "id",
                       "distance_ms")
@@ -102,46 +107,46 @@ def q_closest_bulk(spark, sf_dir):
 
 @register("url_summary", W(f"""
 SELECT ts14, id, mime, response FROM captures WHERE url = {TGT}"""))
-def q_url_summary(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_url_summary(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return match(caps, url=t.url).select(ts14("date").alias("ts14"), "id", "mime", "response")
 
 
 @register("url_calendar", W(f"""
 SELECT strftime(date, '%Y-%m-%d') AS period, count(*) AS n FROM captures WHERE url = {TGT} GROUP BY 1"""))
-def q_url_calendar(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_url_calendar(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.capture_calendar(caps, "day", url=t.url)
 
 
 @register("domain_summary", W(f"""
 SELECT strftime(date, '%Y-%m-%d') AS period, count(*) AS n FROM captures
 WHERE sdomain = {TGT_SDOMAIN} GROUP BY 1"""))
-def q_domain_summary(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_domain_summary(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.capture_calendar(caps, "day", domain=t.sdomain)
 
 
 @register("prefix_distinct", W(f"""
 SELECT DISTINCT url FROM captures WHERE starts_with(url, {TGT_PREFIX})"""))
-def q_prefix_distinct(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_prefix_distinct(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.distinct_urls(caps, url_prefix=t.url_prefix)
 
 
 @register("subdomain_path", W(f"""
 SELECT DISTINCT url FROM captures
 WHERE starts_with(sdomain, {TGT_ROOT} || ',') AND starts_with(path, {TGT_PATH_PREFIX})"""))
-def q_subdomain_path(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_subdomain_path(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.distinct_urls(caps, under_domain=t.root, path_prefix=t.path_prefix)
 
 
 @register("range_lookup", W(f"""
 SELECT ts14, id FROM captures
 WHERE url = {TGT} AND epoch_s BETWEEN {_e(RANGE_START)} AND {_e(RANGE_END)}"""))
-def q_range_lookup(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_range_lookup(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return match(caps, url=t.url, start=RANGE_START, end=RANGE_END).select(ts14("date").alias("ts14"), "id")
 
 
@@ -150,68 +155,68 @@ _P0, _P1 = (int(x.timestamp()) for x in partial_range(PARTIAL))
 
 @register("partial_timestamp", W(f"""
 SELECT ts14, id FROM captures WHERE url = {TGT} AND epoch_s >= {_P0} AND epoch_s < {_P1}"""))
-def q_partial_timestamp(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_partial_timestamp(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return match(caps, url=t.url, partial=PARTIAL).select(ts14("date").alias("ts14"), "id")
 
 
 @register("hit_count", W(f"""
 SELECT count(*) AS n FROM captures
 WHERE url = {TGT} AND epoch_s BETWEEN {_e(RANGE_START)} AND {_e(RANGE_END)}"""))
-def q_hit_count(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_hit_count(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.hit_count(caps, url=t.url, start=RANGE_START, end=RANGE_END)
 
 
 @register("search_default", W(f"""
 SELECT ourl, ts14, mime, arc, "offset" FROM captures WHERE ourl = {TGT_OURL}
 ORDER BY url, epoch_s, id LIMIT 10000"""))
-def q_search_default(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_search_default(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     out = lookup.search(caps, ourl=t.ourl, columns=None)
     return out.select("ourl", ts14("date").alias("ts14"), "mime", "arc", "offset")
 
 
 @register("regex_lookup", W(f"""
 SELECT url, ts14, id FROM captures WHERE regexp_full_match(url, '{URL_REGEX}')"""))
-def q_regex_lookup(spark, sf_dir):
-    caps = A.captures(spark, sf_dir)
+def q_regex_lookup(spark, sf_dir, caps=None):
+    caps = _caps(spark, sf_dir, caps)
     return match(caps, url_regex=URL_REGEX).select("url", ts14("date").alias("ts14"), "id")
 
 
 @register("mime_lookup", W("""
 SELECT id, url, ts14 FROM captures WHERE mime = 'text/html'"""))
-def q_mime_lookup(spark, sf_dir):
-    return match(A.captures(spark, sf_dir), mime="text/html").select("id", "url", ts14("date").alias("ts14"))
+def q_mime_lookup(spark, sf_dir, caps=None):
+    return match(_caps(spark, sf_dir, caps), mime="text/html").select("id", "url", ts14("date").alias("ts14"))
 
 
 @register("arc_urls", W(f"""
 SELECT DISTINCT url FROM captures WHERE arc = '{ARC}' AND starts_with(sdomain, {TGT_ROOT} || ',')"""))
-def q_arc_urls(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_arc_urls(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.distinct_urls(caps, arc=ARC, under_domain=t.root)
 
 
 @register("scheme_lookup", W("""
 SELECT id, ourl FROM captures WHERE lower(regexp_extract(ourl, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) = 'https'"""))
-def q_scheme_lookup(spark, sf_dir):
-    return match(A.captures(spark, sf_dir), scheme="https").select("id", "ourl")
+def q_scheme_lookup(spark, sf_dir, caps=None):
+    return match(_caps(spark, sf_dir, caps), scheme="https").select("id", "ourl")
 
 
 @register("combined_filter", W(f"""
 SELECT id, url, ts14 FROM captures
 WHERE starts_with(sdomain, {TGT_ROOT} || ',') AND mime = 'text/html' AND response = 200
   AND epoch_s BETWEEN {_e(RANGE_START)} AND {_e(RANGE_END)}"""))
-def q_combined_filter(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_combined_filter(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     out = match(caps, under_domain=t.root, mime="text/html", response=200, start=RANGE_START, end=RANGE_END)
     return out.select("id", "url", ts14("date").alias("ts14"))
 
 
 @register("missing_mime", W("""
 SELECT id, url, ts14 FROM captures WHERE mime IS NULL"""))
-def q_missing_mime(spark, sf_dir):
-    return match(A.captures(spark, sf_dir), missing=["mime"]).select("id", "url", ts14("date").alias("ts14"))
+def q_missing_mime(spark, sf_dir, caps=None):
+    return match(_caps(spark, sf_dir, caps), missing=["mime"]).select("id", "url", ts14("date").alias("ts14"))
 
 
 # ---- aggregations ----------------------------------------------------------------------------------
@@ -220,48 +225,48 @@ def q_missing_mime(spark, sf_dir):
 , ranked AS (SELECT url, newdigest, ts14, id, count(*) OVER (PARTITION BY url, newdigest) AS n,
                     row_number() OVER (PARTITION BY url, newdigest ORDER BY epoch_s, id) AS rn FROM captures)
 SELECT url, newdigest, ts14, id, n FROM ranked WHERE rn = 1"""))
-def q_first_per_digest(spark, sf_dir):
-    out = facets.first_per_digest(A.captures(spark, sf_dir))
+def q_first_per_digest(spark, sf_dir, caps=None):
+    out = facets.first_per_digest(_caps(spark, sf_dir, caps))
     return out.select("url", "newdigest", ts14("date").alias("ts14"), "id", "n")
 
 
 @register("facet_arc", W("""
 SELECT arc, count(*) AS n FROM captures GROUP BY arc"""))
-def q_facet_arc(spark, sf_dir):
-    return facets.facet(A.captures(spark, sf_dir), "arc")
+def q_facet_arc(spark, sf_dir, caps=None):
+    return facets.facet(_caps(spark, sf_dir, caps), "arc")
 
 
 @register("facet_arc_zero", W(f"""
 SELECT arc, count(*) FILTER (WHERE starts_with(url, {TGT_PREFIX})) AS n FROM captures GROUP BY arc"""))
-def q_facet_arc_zero(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_facet_arc_zero(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     return facets.facet(caps, "arc", min_count=0, url_prefix=t.url_prefix)
 
 
 @register("facet_year_mime", W("""
 SELECT CAST(year(date) AS INTEGER) AS year, mime, count(*) AS n FROM captures GROUP BY 1, 2"""))
-def q_facet_year_mime(spark, sf_dir):
-    return facets.facet(A.captures(spark, sf_dir), ["year", "mime"])
+def q_facet_year_mime(spark, sf_dir, caps=None):
+    return facets.facet(_caps(spark, sf_dir, caps), ["year", "mime"])
 
 
 @register("facet_domain", W("""
 SELECT sdomain, count(*) AS n FROM captures GROUP BY sdomain"""))
-def q_facet_domain(spark, sf_dir):
-    return facets.facet(A.captures(spark, sf_dir), "sdomain")
+def q_facet_domain(spark, sf_dir, caps=None):
+    return facets.facet(_caps(spark, sf_dir, caps), "sdomain")
 
 
 @register("group_arc", W("""
 SELECT arc, count(*) AS n, min(ts14) AS first_ts14, max(ts14) AS last_ts14 FROM captures GROUP BY arc"""))
-def q_group_arc(spark, sf_dir):
-    out = facets.group_summary(A.captures(spark, sf_dir), "arc")
+def q_group_arc(spark, sf_dir, caps=None):
+    out = facets.group_summary(_caps(spark, sf_dir, caps), "arc")
     return out.select("arc", "n", ts14("first_date").alias("first_ts14"), ts14("last_date").alias("last_ts14"))
 
 
 @register("group_digest", W("""
 SELECT newdigest, count(*) AS n, min(ts14) AS first_ts14, max(ts14) AS last_ts14 FROM captures
 GROUP BY newdigest"""))
-def q_group_digest(spark, sf_dir):
-    out = facets.group_summary(A.captures(spark, sf_dir), "newdigest")
+def q_group_digest(spark, sf_dir, caps=None):
+    out = facets.group_summary(_caps(spark, sf_dir, caps), "newdigest")
     return out.select("newdigest", "n", ts14("first_date").alias("first_ts14"),
                       ts14("last_date").alias("last_ts14"))
 
@@ -274,8 +279,8 @@ _D0, _D1 = (int(x.timestamp()) for x in partial_range(LOOKUP_DAY))
 @register("lookup_many", W(f"""
 , req AS (SELECT DISTINCT url FROM captures WHERE epoch_s >= {_D0} AND epoch_s < {_D1})
 SELECT c.url, c.ts14, c.id FROM captures c WHERE c.url IN (SELECT url FROM req)"""))
-def q_lookup_many(spark, sf_dir):
-    caps = A.captures(spark, sf_dir)
+def q_lookup_many(spark, sf_dir, caps=None):
+    caps = _caps(spark, sf_dir, caps)
     reqs = facets.distinct_urls(caps, partial=LOOKUP_DAY)
     return lookup.lookup_many(reqs, caps).select("url", ts14("date").alias("ts14"), "id")
 
@@ -285,16 +290,16 @@ SELECT url, ts14, id FROM captures
 WHERE url > {TGT} OR (url = {TGT} AND epoch_s > {_e(KEYSET_AT)})
    OR (url = {TGT} AND epoch_s = {_e(KEYSET_AT)} AND id > '')
 ORDER BY url, epoch_s, id LIMIT {KEYSET_LIMIT}"""))
-def q_keyset_page(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_keyset_page(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     out = lookup.page_after(caps, {"url": t.url, "date": KEYSET_AT, "id": ""}, KEYSET_LIMIT)
     return out.select("url", ts14("date").alias("ts14"), "id")
 
 
 @register("offset_page", W(f"""
 SELECT url, ts14, id FROM captures ORDER BY url, epoch_s, id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}"""))
-def q_offset_page(spark, sf_dir):
-    out = lookup.search(A.captures(spark, sf_dir), columns=None, limit=PAGE_LIMIT, offset=PAGE_OFFSET)
+def q_offset_page(spark, sf_dir, caps=None):
+    out = lookup.search(_caps(spark, sf_dir, caps), columns=None, limit=PAGE_LIMIT, offset=PAGE_OFFSET)
     return out.select("url", ts14("date").alias("ts14"), "id")
 
 
@@ -310,8 +315,8 @@ SELECT chunk, max(n) AS n,
        max(CASE WHEN d = 1 THEN url END) AS last_url, max(CASE WHEN d = 1 THEN ts14 END) AS last_ts14,
        max(CASE WHEN d = 1 THEN id END) AS last_id
 FROM r GROUP BY chunk"""))
-def q_chunk_plan(spark, sf_dir):
-    out = lookup.chunk_plan(A.captures(spark, sf_dir), CHUNKS)
+def q_chunk_plan(spark, sf_dir, caps=None):
+    out = lookup.chunk_plan(_caps(spark, sf_dir, caps), CHUNKS)
     return out.select("chunk", "n", "first_url", ts14("first_date").alias("first_ts14"), "first_id",
                       "last_url", ts14("last_date").alias("last_ts14"), "last_id")
 
@@ -323,16 +328,16 @@ _RANDOM_T = lookup.random_instant(RANDOM_START, RANDOM_END, RANDOM_SEED)
 SELECT ourl, ts14, id, abs({_RANDOM_T} - epoch_s) * 1000 AS distance_ms FROM captures
 WHERE url = {TGT} AND epoch_s BETWEEN {_e(RANDOM_START)} AND {_e(RANDOM_END)}
 ORDER BY distance_ms, epoch_s, id LIMIT 1"""))
-def q_random_in_period(spark, sf_dir):
-    caps, t = caps_and_target(spark, sf_dir)
+def q_random_in_period(spark, sf_dir, caps=None):
+    caps, t = caps_and_target(spark, sf_dir, caps)
     out = lookup.random_capture(caps, t.url, RANDOM_START, RANDOM_END, RANDOM_SEED)
     return out.select("ourl", ts14("date").alias("ts14"), "id", "distance_ms")
 
 
 @register("random_order", W(f"""
 SELECT id, url, md5('{ORDER_SEED}' || id) AS sort_key FROM captures ORDER BY sort_key, id LIMIT {SAMPLE}"""))
-def q_random_order(spark, sf_dir):
-    out = lookup.random_order(A.captures(spark, sf_dir), ORDER_SEED, SAMPLE)
+def q_random_order(spark, sf_dir, caps=None):
+    out = lookup.random_order(_caps(spark, sf_dir, caps), ORDER_SEED, SAMPLE)
     return out.select("id", "url", "sort_key")
 
 
@@ -357,7 +362,7 @@ FROM u3"""
 
 
 @register("surt", "WITH " + _SURT_SQL.lstrip().lstrip(","))
-def q_surt(spark, sf_dir):
+def q_surt(spark, sf_dir, caps=None):
     pages = A.table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", surt("url").alias("surt"))
 
@@ -376,8 +381,8 @@ def _capture_cols(df: DataFrame) -> DataFrame:
 
 @register("parse_cdx", W(f"""
 SELECT {_PARSED_COLS} FROM captures WHERE {_CLEAN}"""))
-def q_parse_cdx(spark, sf_dir):
-    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("line_mid", "value")
+def q_parse_cdx(spark, sf_dir, caps=None):
+    lines = A.cdx_lines(_caps(spark, sf_dir, caps)).select("line_mid", "value")
     return _capture_cols(cdx.accepted(cdx.parse_cdx(lines)))
 
 
@@ -386,24 +391,24 @@ SELECT CASE WHEN event_id % 97 = 0 THEN 'column_count' WHEN event_id % 89 = 0 TH
             WHEN event_id % 83 = 0 THEN 'bad_offset' WHEN event_id % 79 = 0 THEN 'bad_timestamp'
             ELSE 'accepted' END AS status, count(*) AS n
 FROM captures GROUP BY 1"""))
-def q_reject_summary(spark, sf_dir):
-    lines = A.cdx_lines(A.captures(spark, sf_dir)).select("line_mid", "value")
+def q_reject_summary(spark, sf_dir, caps=None):
+    lines = A.cdx_lines(_caps(spark, sf_dir, caps)).select("line_mid", "value")
     return cdx.reject_summary(cdx.parse_cdx(lines))
 
 
 @register("csv_round_trip", W("""
 SELECT id, url, ts14, ourl, mime, response, newdigest, redirect, "offset", arc,
        nullif(sdomain, '') AS sdomain, nullif(path, '') AS path FROM captures"""))
-def q_csv_round_trip(spark, sf_dir):
-    caps = A.captures(spark, sf_dir)
+def q_csv_round_trip(spark, sf_dir, caps=None):
+    caps = _caps(spark, sf_dir, caps)
     return _capture_cols(csvio.from_escaped_lines(csvio.to_escaped_lines(caps)))
 
 
 @register("upsert_overlap", W("""
 SELECT id, url, ts14, CASE WHEN event_id % 3 = 1 THEN response ELSE 200 END AS response, "offset"
 FROM captures"""))
-def q_upsert_overlap(spark, sf_dir):
-    b1, b2 = A.batches(A.captures(spark, sf_dir))
+def q_upsert_overlap(spark, sf_dir, caps=None):
+    b1, b2 = A.batches(_caps(spark, sf_dir, caps))
     out = store.upsert(b1, b2, key=("id",))
     return out.select("id", "url", ts14("date").alias("ts14"), "response", "offset")
 
@@ -411,8 +416,8 @@ def q_upsert_overlap(spark, sf_dir):
 @register("upsert_latest", W("""
 , r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY epoch_s DESC, id DESC) AS rn FROM captures)
 SELECT url, ts14, id, event_id FROM r WHERE rn = 1"""))
-def q_upsert_latest(spark, sf_dir):
-    caps = A.captures(spark, sf_dir)
+def q_upsert_latest(spark, sf_dir, caps=None):
+    caps = _caps(spark, sf_dir, caps)
     out = store.upsert(None, caps, key=("url",), order=("date", "id"))
     return out.select("url", ts14("date").alias("ts14"), "id", "event_id")
 
