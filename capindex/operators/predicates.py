@@ -60,7 +60,8 @@ def match_condition(*, ourl=None, url=None, at=None, start=None, end=None, parti
     """The ANDed condition, or None when nothing is given.
 
     - ``ourl`` / ``url``: exact original / canonical URL (value or list of values).
-    - ``at``: exact capture instant; ``start``/``end``: inclusive range; ``partial``: ``'2014'``,
+    - ``at``: exact capture instant; ``start``/``end``: inclusive range (instants, or Columns such as
+      :func:`~capindex.functions.time.date_math`); ``partial``: ``'2014'``,
       ``'201401'``, ... half-open unit range.
     - ``domain``: exact ``sdomain``; ``url_prefix``: canonical URL prefix (truncated path);
       ``under_domain`` + ``path_prefix``: every subdomain of a SURT domain (``com,example``) whose path
@@ -78,9 +79,9 @@ def match_condition(*, ourl=None, url=None, at=None, start=None, end=None, parti
     if at is not None:
         conds.append(F.col("date") == lit_ts(at))
     if start is not None:
-        conds.append(F.col("date") >= lit_ts(start))
+        conds.append(F.col("date") >= (start if isinstance(start, Column) else lit_ts(start)))
     if end is not None:
-        conds.append(F.col("date") <= lit_ts(end))
+        conds.append(F.col("date") <= (end if isinstance(end, Column) else lit_ts(end)))
     if partial is not None:
         lo, hi = partial_range(partial)
         conds.append((F.col("date") >= F.lit(lo)) & (F.col("date") < F.lit(hi)))

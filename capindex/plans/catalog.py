@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.surt import surt
-from ..functions.time import instant, partial_range, ts14
+from ..functions.time import date_math, instant, partial_range, ts14
 from ..operators import facets, lookup
 from ..operators.predicates import match
 from ..sources import adapter as A
@@ -422,4 +422,59 @@ def q_upsert_latest(spark, sf_dir, caps=None):
     return out.select("url", ts14("date").alias("ts14"), "id", "event_id")
 
 
+
+
+
+# ---- more of the surface: decoding, date math, statistics, export ------------------------------------
+
+@register("lookup_many_decoded", W(f"""
+, req AS (SELECT DISTINCT url FROM captures WHERE epoch_s >= {_D0} AND epoch_s < {_D1})
+SELECT c.url, c.ts14, c.id FROM captures c WHERE c.url IN (SELECT url FROM req)"""))
+def q_lookup_many_decoded(spark, sf_dir, caps=None):
+    """Requests arrive percent-encoded (as in a request URL) and are decoded before the lookup."""
+    caps = _caps(spark, sf_dir, caps)
+    reqs = facets.distinct_urls(caps, partial=LOOKUP_DAY).select(F.url_encode("url").alias("url"))
+    return lookup.lookup_many(reqs, caps, decode_url=True).select("url", ts14("date").alias("ts14"), "id")
+
+
+DM_NOW, DM_TRUNC, DM_ADD = "2024-01-20T13:45:00Z", "DAY", "-7DAYS"
+
+
+@register("date_math_count", W(f"""
+SELECT count(*) AS n FROM captures
+WHERE epoch_s >= {_e("2024-01-13T00:00:00Z")} AND epoch_s <= {_e(DM_NOW)}"""))
+def q_date_math_count(spark, sf_dir, caps=None):
+    """Captures from ``NOW/DAY-7DAYS`` to ``NOW`` (``now`` passed explicitly)."""
+    caps = _caps(spark, sf_dir, caps)
+    return facets.hit_count(caps, start=date_math(DM_NOW, DM_TRUNC, DM_ADD), end=date_math(DM_NOW))
+
+
+@register("mime_stats", W("""
+SELECT mime, count(*) AS n FROM captures GROUP BY mime"""))
+def q_mime_stats(spark, sf_dir, caps=None):
+    return facets.facet(_caps(spark, sf_dir, caps), "mime")
+
+
+@register("prefix_calendar", W(f"""
+SELECT strftime(date, '%Y-%m') AS period, count(*) AS n FROM captures
+WHERE starts_with(url, {TGT_SDOMAIN} || ')') GROUP BY 1"""))
+def q_prefix_calendar(spark, sf_dir, caps=None):
+    """Domain summary over time in its prefix form (``url:example.com/*``)."""
+    caps, t = caps_and_target(spark, sf_dir, caps)
+    return facets.capture_calendar(caps, "month", url_prefix=f"{t.sdomain})")
+
+
+@register("export_json", W(f"""
+SELECT id, url, ts14, mime, response FROM captures WHERE sdomain = {TGT_SDOMAIN}"""))
+def q_export_json(spark, sf_dir, caps=None):
+    """Bulk export of a domain's captures as JSON (distributed write), read back."""
+    from ..schema import CAPTURE_SCHEMA
+    from ..session import scratch_path
+    caps, t = caps_and_target(spark, sf_dir, caps)
+    path = scratch_path(spark, "export-json")
+    lookup.export(caps, path, format="json", columns=("id", "url", "date", "mime", "response"), domain=t.sdomain)
+    back = spark.read.schema(CAPTURE_SCHEMA).json(path)
+    return back.select("id", "url", ts14("date").alias("ts14"), "mime", "response")
+
+
 __all__ = ["QUERIES", "ORACLE", "register"]

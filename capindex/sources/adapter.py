@@ -7,6 +7,7 @@ so the work grows with them. Each Spark builder has a DuckDB SQL twin (used as t
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,9 +144,24 @@ class Target:
         return self.path.split("/")[0] + "/"
 
 
+_TARGETS: dict[tuple, Target] = {}
+
+
 def target(spark: SparkSession, sf_dir: str, page_id: int = 0) -> Target:
+    """The request of the lookup queries (one row of ``pages``), remembered per table file version."""
+    path = f"{sf_dir.rstrip('/')}/pages.parquet"
+    try:
+        st = os.stat(path)
+        key = (path, page_id, st.st_mtime_ns, st.st_size)
+    except OSError:  # not a local path: always ask Spark
+        key = None
+    if key is not None and key in _TARGETS:
+        return _TARGETS[key]
     r = page_keys(table(spark, sf_dir, "pages")).where(F.col("page_id") == page_id).first()
-    return Target(r.url, r.ourl, r.sdomain, r.path)
+    t = Target(r.url, r.ourl, r.sdomain, r.path)
+    if key is not None:
+        _TARGETS[key] = t
+    return t
 
 
 # ---- DuckDB twins -----------------------------------------------------------------------------
