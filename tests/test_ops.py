@@ -206,3 +206,20 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "StringStartsWith(url,com,a))" in plan
     plan = physical_plan(lookup.search(s, url="com,a)/x", columns=("id",)))
     assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<url:string,date:timestamp,id:string>" in plan
+
+
+def test_versions_rewrite_only_touched_months(spark, tmp_path):
+    root = str(tmp_path / "st")
+    jan, feb = dt.datetime(2024, 1, 5, tzinfo=UTC), dt.datetime(2024, 2, 5, tzinfo=UTC)
+    schema = "id string, url string, date timestamp, v int"
+    b1 = spark.createDataFrame([("a", "u", jan, 1), ("b", "u", feb, 1)], schema)
+    b2 = spark.createDataFrame([("b", "u", feb, 2), ("c", "w", feb, 2)], schema)
+    assert store.commit_upsert(spark, root, b1, 1)
+    assert store.commit_upsert(spark, root, b2, 2)
+    assert store.manifest(spark, root) == {"202401": 1, "202402": 2}
+    import os
+    assert [n for n in sorted(os.listdir(tmp_path / "st" / "data" / "w=2")) if n.startswith("pmonth")] == ["pmonth=202402"]
+    got = {r.id: r.v for r in store.read_store(spark, root).collect()}
+    assert got == {"a": 1, "b": 2, "c": 2}
+    assert {r.id for r in store.read_store(spark, root, version=1).collect()} == {"a", "b"}
+    assert [r.id for r in store.read_store(spark, root, months={"202401"}).collect()] == ["a"]
