@@ -223,3 +223,5 @@ def test_versions_rewrite_only_touched_months(spark, tmp_path):
     assert got == {"a": 1, "b": 2, "c": 2}
     assert {r.id for r in store.read_store(spark, root, version=1).collect()} == {"a", "b"}
     assert [r.id for r in store.read_store(spark, root, months={"202401"}).collect()] == ["a"]
+    assert [r.id for r in store.read_store(spark, root, start="2024-02-01T00:00:00Z").collect()] != []
+    assert {r.id for r in store.read_store(spark, root, end="2024-01-31T00:00:00Z").collect()} == {"a"}
