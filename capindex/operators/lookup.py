@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import epoch_ms, instant, lit_ts, time_distance
+from ..functions.time import instant, lit_ts, time_distance
 from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER
 from ..session import scratch_path
 from .predicates import match

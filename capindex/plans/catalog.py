@@ -8,7 +8,6 @@ Outputs carry ``ts14`` text / epoch numbers instead of timestamps so both engine
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.surt import reverse_host
 from ..functions.time import ts14
 from ..plans.guards import bounded_broadcast
-from ..schema import CAPTURE_COLUMNS
 from ..session import ensure_utc
 
 # Page dimension rows broadcast to the event scan only below this proven row count (the page count is
@@ -201,4 +200,4 @@ def with_captures(body: str) -> str:
 
 
 __all__ = ["captures", "cdx_lines", "requests", "batches", "target", "page_keys", "table", "Target",
-           "SQL_CAPTURES", "with_captures", "CAPTURE_COLUMNS"]
+           "SQL_CAPTURES", "with_captures"]

@@ -28,3 +28,15 @@ def test_entry(spark):
     df = entry_mod.entry(spark)
     assert df.columns == ["rid", "t_epoch_s", "ts14", "id", "distance_ms"]
     assert df.count() > 0
+
+
+PLAN_CHECKED = sorted(n for n in NAMES if n not in {
+    "read_cdx", "ingest_report", "csv_file_round_trip", "stream_ingest", "batch_ingest", "export_json"})
+
+
+@pytest.mark.parametrize("name", PLAN_CHECKED)
+def test_no_pairwise_plans(spark, small_dir, name):
+    from capindex.plans.guards import physical_plan
+    plan = physical_plan(entry_mod.queries()[name](spark, small_dir), "simple")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name  # no Python UDF on the hot path
