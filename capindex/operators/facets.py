@@ -40,19 +40,25 @@ def hit_count(df: DataFrame, **conditions) -> DataFrame:
 
 
 def facet(df: DataFrame, by: str | Column | Sequence[str | Column] = "arc", min_count: int = 1,
-          **conditions) -> DataFrame:
+          limit: int | None = None, **conditions) -> DataFrame:
     """Counts of matching captures per facet value (``arc``, ``sdomain``, ``mime``, ``year``, ...).
 
     ``min_count=0`` also lists values with no match: a single pass over all captures counting matches
-    with ``count_if`` (no join against a list of distinct values).
+    with ``count_if`` (no join against a list of distinct values). ``limit`` keeps the ``limit`` largest
+    counts (ties by value); the default is no cut-off.
     """
     keys = [_facet_col(b) for b in ([by] if isinstance(by, (str, Column)) else by)]
     if min_count <= 0:
         cond = match_condition(**conditions)
         n = F.count_if(cond) if cond is not None else F.count(F.lit(1))
-        return df.groupBy(*keys).agg(n.alias("n"))
-    out = match(df, **conditions).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("n") >= min_count) if min_count > 1 else out
+        out = df.groupBy(*keys).agg(n.alias("n"))
+    else:
+        out = match(df, **conditions).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        out = out.where(F.col("n") >= min_count) if min_count > 1 else out
+    if limit is not None:
+        out = out.orderBy(F.col("n").desc(), *[F.col(c).asc_nulls_last() for c in out.columns if c != "n"])
+        out = out.limit(limit)
+    return out
 
 
 def group_summary(df: DataFrame, by: str | Sequence[str] = "newdigest", **conditions) -> DataFrame:

@@ -16,12 +16,14 @@ from .predicates import match
 
 
 def _asc(cols: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in cols]
+    """Sort columns, missing values last in either direction; ``-name`` sorts descending."""
+    return [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in cols]
 
 
 def search(df: DataFrame, *, columns: Sequence[str] | None = DEFAULT_FIELDS, limit: int | None = DEFAULT_LIMIT,
            offset: int = 0, order: Sequence[str] | None = DEFAULT_ORDER, **conditions) -> DataFrame:
-    """Filter, order by a total order (nulls last), skip ``offset`` rows, keep ``limit`` rows, project.
+    """Filter, order by a total order (nulls last; ``-field`` for descending), skip ``offset`` rows, keep
+    ``limit`` rows, project.
 
     ``limit=None`` returns every match (use :func:`export` to write it rather than collecting it).
     With a limit this plans one ``TakeOrderedAndProject``: every task keeps its best ``offset + limit`` rows.
@@ -55,17 +57,21 @@ def export(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifex
 
 
 def keyset_condition(cursor: Mapping[str, object] | Sequence, order: Sequence[str] = DEFAULT_ORDER) -> Column:
-    """Rows strictly after ``cursor`` in ``order``: ``k1 > v1 OR (k1 = v1 AND k2 > v2) OR ...``, plus the
-    implied ``k1 >= v1`` so the scan can skip by statistics."""
-    vals = [cursor[k] for k in order] if isinstance(cursor, Mapping) else list(cursor)
-    lit = [lit_ts(v) if k == "date" else F.lit(v) for k, v in zip(order, vals)]
+    """Rows strictly after ``cursor`` in ``order`` (``-field`` = descending): ``k1 > v1 OR (k1 = v1 AND
+    k2 > v2) OR ...``, plus the implied bound on ``k1`` so the scan can skip by statistics."""
+    names = [k.lstrip("-") for k in order]
+    desc = [k.startswith("-") for k in order]
+    vals = [cursor[k] for k in names] if isinstance(cursor, Mapping) else list(cursor)
+    lit = [lit_ts(v) if k == "date" else F.lit(v) for k, v in zip(names, vals)]
+    after = lambda i: (F.col(names[i]) < lit[i]) if desc[i] else (F.col(names[i]) > lit[i])
     disj = None
-    for i in range(len(order)):
-        term = F.col(order[i]) > lit[i]
+    for i in range(len(names)):
+        term = after(i)
         for j in range(i):
-            term = (F.col(order[j]) == lit[j]) & term
+            term = (F.col(names[j]) == lit[j]) & term
         disj = term if disj is None else (disj | term)
-    return (F.col(order[0]) >= lit[0]) & disj
+    bound = (F.col(names[0]) <= lit[0]) if desc[0] else (F.col(names[0]) >= lit[0])
+    return bound & disj
 
 
 def page_after(df: DataFrame, cursor, limit: int, order: Sequence[str] = DEFAULT_ORDER,

@@ -225,3 +225,27 @@ def test_versions_rewrite_only_touched_months(spark, tmp_path):
     assert [r.id for r in store.read_store(spark, root, months={"202401"}).collect()] == ["a"]
     assert [r.id for r in store.read_store(spark, root, start="2024-02-01T00:00:00Z").collect()] != []
     assert {r.id for r in store.read_store(spark, root, end="2024-01-31T00:00:00Z").collect()} == {"a"}
+
+
+def test_descending_sort_and_facet_limit(spark):
+    df = caps_df(spark, [("a", T0, "x", None), ("a", T0 + dt.timedelta(days=1), "y", "m"),
+                         ("b", T0, "z", "m")])
+    out = lookup.search(df, columns=("id",), order=("-date", "id")).collect()
+    assert [r.id for r in out] == ["y", "x", "z"]
+    top = facets.facet(df.withColumn("arc", F.col("url")), "arc", limit=1).collect()
+    assert [(r.arc, r.n) for r in top] == [("a", 2)]
+
+
+def test_keyset_descending(spark):
+    rows = random_captures(60, ["a", "b"], seed=8)
+    df = caps_df(spark, rows).dropDuplicates(["url", "date", "id"])
+    order = ("url", "-date", "id")
+    want = [(r.url, r.date, r.id) for r in lookup.search(df, columns=("url", "date", "id"), order=order, limit=None).collect()]
+    seen, cursor = [], None
+    while True:
+        page = lookup.page_after(df, cursor, 13, order=order).collect()
+        if not page:
+            break
+        seen += [(r.url, r.date, r.id) for r in page]
+        cursor = {"url": page[-1].url, "date": page[-1].date.replace(tzinfo=UTC), "id": page[-1].id}
+    assert seen == want
