@@ -49,6 +49,25 @@ def timed(fn, repeat: int) -> float:
     return round(best, 3)
 
 
+def _bytes(root: str, suffix_ok, uncompressed: bool = False) -> int:
+    """Size of the data files under a local folder (gzip members counted uncompressed)."""
+    import gzip
+    path = root[len("file:"):] if root.startswith("file:") else root
+    total = 0
+    for d, _, names in os.walk(path):
+        for n in names:
+            if not suffix_ok(n):
+                continue
+            f = os.path.join(d, n)
+            if uncompressed and n.endswith(".gz"):
+                with gzip.open(f, "rb") as g:
+                    while chunk := g.read(1 << 20):
+                        total += len(chunk)
+            else:
+                total += os.path.getsize(f)
+    return total
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -87,10 +106,18 @@ def main() -> None:
         queries[name] = timed(lambda: run(fn(spark, sf_dir, caps)), repeat)
 
     total = round(sum(queries.values()), 3)
+    ncpu = int(cpus) if cpus.isdigit() else os.cpu_count()
+    data_file = lambda n: not n.endswith(".crc") and not n.startswith(("_", "."))
+    # CDX text of the files whose lines reach the store (the wrong-header copy is left out)
+    cdx_bytes = sum(_bytes(f"{files_root}/{d}", data_file, uncompressed=True) for d in ("plain", "gz"))
+    store_bytes = _bytes(f"{ingest_root}/store/data", suffix_ok=lambda n: n.endswith(".parquet"))
     print(json.dumps({
         "metric": "query_seconds_total", "value": total, "unit": "sec", "queries": queries, "sf": sf,
         "ingest_sec": round(ingest_sec, 3), "ingest_entries": ingested,
         "ingest_entries_per_sec": round(ingested / ingest_sec, 1) if ingest_sec else None,
+        "ingest_lines_per_sec_per_core": round(parse_lines / ingest_sec / ncpu, 1) if ingest_sec else None,
+        "parse_lines_per_sec_per_core": round(parse_lines / parse_sec / ncpu, 1) if parse_sec else None,
+        "parquet_bytes_per_cdx_byte": round(store_bytes / cdx_bytes, 3) if cdx_bytes else None,
         "parse_lines": parse_lines, "parse_sec": parse_sec,
         "parse_lines_per_sec": round(parse_lines / parse_sec, 1) if parse_sec else None,
         "store_build_sec": round(build_sec, 3), "cpus": cpus, "repeat": repeat,
