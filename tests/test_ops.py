@@ -249,3 +249,13 @@ def test_keyset_descending(spark):
         seen += [(r.url, r.date, r.id) for r in page]
         cursor = {"url": page[-1].url, "date": page[-1].date.replace(tzinfo=UTC), "id": page[-1].id}
     assert seen == want
+
+
+def test_commit_upsert_key_across_months(spark, tmp_path):
+    root = str(tmp_path / "st2")
+    jan, feb = dt.datetime(2024, 1, 5, tzinfo=UTC), dt.datetime(2024, 2, 5, tzinfo=UTC)
+    schema = "id string, url string, date timestamp"
+    store.commit_upsert(spark, root, spark.createDataFrame([("a", "u", jan), ("b", "w", jan)], schema), 1,
+                        key=("url",))
+    store.commit_upsert(spark, root, spark.createDataFrame([("c", "u", feb)], schema), 2, key=("url",))
+    assert sorted((r.url, r.id) for r in store.read_store(spark, root).collect()) == [("u", "c"), ("w", "b")]
