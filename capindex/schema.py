@@ -25,13 +25,14 @@ RESPONSE_PLACEHOLDER_VALUE = -1
 # CDX field letters and the capture column each one fills (None: read but not stored):
 CDX_LETTERS = {
     "N": "url",        # canonical (massaged) URL
+    "A": "url",        # canonized URL (SURT & normalised), used when a layout has no N
     "b": "date",       # 14-digit timestamp
     "a": "ourl",       # original URL
     "m": "mime",       # mime type
     "s": "response",   # response code
     "k": "newdigest",  # new-style checksum
     "r": "redirect",   # redirect
-    "M": None,         # meta tags (AIF)
+    "M": "meta",       # meta tags (AIF), one value per flag letter
     "S": None,         # compressed record size
     "V": "offset",     # compressed arc file offset
     "g": "arc",        # file name

@@ -123,3 +123,12 @@ def test_ingest_report_and_new_files(spark):
     assert rep["f2"]["column_count"] == 1
     cand = spark.createDataFrame([("f1",), ("f3",)], "file_path string")
     assert [r.file_path for r in cdx.new_files(cand, df).collect()] == ["f3"]
+
+
+def test_wide_layout_optional_fields(spark):
+    layout = " CDX A b e a m s c k r V v D d g M n"
+    text = "com,ex)/p 20110225190307 1.2.3.4 http://ex.com/p text/html 200 OLD NEW - 5 50 - 7 f.arc AI 123"
+    r = cdx.parse_cdx(spark.createDataFrame([(text,)], "value string"), layout).collect()[0]
+    assert r.reject_reason is None and r.url == "com,ex)/p" and r.sdomain == "com,ex"
+    assert (r.ip, r.digest, r.newdigest, r.offset, r.uoffset, r.doffset, r.udoffset) == ("1.2.3.4", "OLD", "NEW", 5, 50, None, 7)
+    assert r.meta == ["A", "I"] and r.arclength == 123 and r.arc == "f.arc"
