@@ -166,40 +166,24 @@ def random_order(df: DataFrame, seed: int | str, n: int | None = None, **conditi
     return out.limit(n) if n is not None else out
 
 
-def _closest_by_join(requests: DataFrame, caps: DataFrame, t_col: str, payload: Sequence[str]) -> DataFrame:
-    """Reference form (small inputs, tests): equi-join on url, best row per request."""
-    r = requests.withColumn("_rk", F.monotonically_increasing_id())
-    j = r.join(caps.select("url", *payload), "url")
-    dist = F.abs(F.unix_millis(F.col(t_col)) - F.unix_millis(F.col("date")))
-    w = Window.partitionBy("_rk").orderBy(dist, F.col("date"), F.col("id"))
-    return (j.withColumn("distance_ms", dist).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1).drop("_rn", "_rk"))
-
-
 def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distance_ms: int | None = None,
-            payload: Sequence[str] = ("date", "id"), bucket_seconds: int = 86400, method: str = "window",
+            payload: Sequence[str] = ("date", "id"), bucket_seconds: int = 86400,
             decode_url: bool = False, keep_unmatched: bool = False) -> DataFrame:
     """For each request ``(url, t)`` the capture of that URL nearest to ``t`` (ties: earlier, then smaller id).
 
-    ``method='window'`` (default) never pairs requests with captures. Requests and captures are unioned
+    Requests are never paired with captures. Requests and captures are unioned
     and cut into ``(url, time bucket)`` groups, so even a URL holding a third of all captures is spread
     over many tasks. Inside a bucket two running windows give each request the last capture at or before
     it and the first at or after it. A request whose bucket has no capture on one side takes the last
     (first) capture of the nearest earlier (later) non-empty bucket, found by a range window over a
-    per-bucket summary (one row per non-empty bucket: small even for a hot URL). ``method='join'`` is the
-    pairwise form, for small inputs and tests.
+    per-bucket summary (one row per non-empty bucket: small even for a hot URL).
 
     Output: request columns, the ``payload`` columns of the chosen capture, ``distance_ms``.
     """
     payload = list(dict.fromkeys(["date", "id", *payload]))
     if decode_url:
         requests = requests.withColumn("url", F.coalesce(F.try_url_decode("url"), F.col("url")))
-    if method == "join":
-        out = _closest_by_join(requests, df, t_col, [p for p in payload if p != "url"])
-    elif method == "window":
-        out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched)
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched)
     if max_distance_ms is not None:
         out = out.where(F.col("distance_ms") <= F.lit(int(max_distance_ms)))
     return out
@@ -276,12 +260,10 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
                       F.abs(F.col("_ms") - F.col("_best.ms")).alias("distance_ms"))
 
 
-def lookup_many(requests: DataFrame, df: DataFrame, *, on: str = "url", keep_request: bool = False,
-                decode_url: bool = False) -> DataFrame:
-    """Captures of many requested keys at once. ``keep_request=False``: a semi join (each capture once,
-    whatever the number of requests naming it); ``True``: an inner join carrying request columns."""
+def lookup_many(requests: DataFrame, df: DataFrame, *, on: str = "url", decode_url: bool = False) -> DataFrame:
+    """Captures of many requested keys at once: a semi join, so each capture appears once however many
+    requests name it (no request x capture pairs). Small request sets are broadcast by AQE from their
+    measured size; large ones shuffle, and AQE splits a hot key's partition."""
     if decode_url:
         requests = requests.withColumn(on, F.coalesce(F.try_url_decode(on), F.col(on)))
-    if keep_request:
-        return requests.join(df, on, "inner")
     return df.join(requests.select(on), on, "left_semi")
