@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import instant, lit_ts, time_distance
 from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER
+from ..plans.guards import bounded_broadcast
 from ..session import scratch_path
 from .predicates import match
 
@@ -166,55 +167,81 @@ def random_order(df: DataFrame, seed: int | str, n: int | None = None, **conditi
     return out.limit(n) if n is not None else out
 
 
+MAX_GROUP_ROWS = 2_000_000     # captures of one (url, bucket) handled by one task before it is split
+MAX_HOT_BROADCAST = 1_000_000  # split buckets listed to every task below this (counted) number
+
+
 def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distance_ms: int | None = None,
             payload: Sequence[str] = ("date", "id"), bucket_seconds: int = 86400,
-            decode_url: bool = False, keep_unmatched: bool = False) -> DataFrame:
+            max_group_rows: int = MAX_GROUP_ROWS, decode_url: bool = False,
+            keep_unmatched: bool = False) -> DataFrame:
     """For each request ``(url, t)`` the capture of that URL nearest to ``t`` (ties: earlier, then smaller id).
 
-    Requests are never paired with captures. Requests and captures are unioned
-    and cut into ``(url, time bucket)`` groups, so even a URL holding a third of all captures is spread
-    over many tasks. Inside a bucket two running windows give each request the last capture at or before
-    it and the first at or after it. A request whose bucket has no capture on one side takes the last
-    (first) capture of the nearest earlier (later) non-empty bucket, found by a range window over a
-    per-bucket summary (one row per non-empty bucket: small even for a hot URL).
+    Requests are never paired with captures. Requests and captures are unioned and cut into
+    ``(url, time bucket)`` groups, so a URL holding a third of all captures is spread over many tasks.
+    Inside a group two running windows give each request the last capture at or before it and the first
+    after it. A request whose bucket has no capture on one side takes the last (first) capture of the
+    nearest earlier (later) non-empty bucket, from a window over a per-bucket summary (one row per
+    non-empty bucket, written once to the shared folder). A bucket holding more than ``max_group_rows``
+    captures is split further: its captures are spread over ``s`` salts by id, each of its requests
+    visits all ``s`` salts, and the ``s`` partial answers are combined exactly.
 
     Output: request columns, the ``payload`` columns of the chosen capture, ``distance_ms``.
     """
     payload = list(dict.fromkeys(["date", "id", *payload]))
     if decode_url:
         requests = requests.withColumn("url", F.coalesce(F.try_url_decode("url"), F.col("url")))
-    out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched)
+    out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched, max_group_rows)
     if max_distance_ms is not None:
         out = out.where(F.col("distance_ms") <= F.lit(int(max_distance_ms)))
     return out
 
 
 def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload: Sequence[str],
-                       bucket_seconds: int, keep_unmatched: bool) -> DataFrame:
+                       bucket_seconds: int, keep_unmatched: bool, max_group_rows: int) -> DataFrame:
+    spark = df.sparkSession
     req_cols = requests.columns
     b_ms = int(bucket_seconds) * 1000
     cap_struct = F.struct(F.unix_millis("date").alias("ms"), *[F.col(p) for p in payload])
-    caps = df.select(
-        "url",
-        F.floor(F.unix_millis("date") / F.lit(b_ms)).alias("_b"),
-        F.unix_millis("date").alias("_ms"),
-        F.lit(0).alias("_kind"),
-        F.col("id").alias("_id"),
-        cap_struct.alias("_cap"),
-        F.lit(None).cast("struct<" + ",".join(f"`{c}`:{requests.schema[c].dataType.simpleString()}"
-                                             for c in req_cols) + ">").alias("_req"),
-    )
-    reqs = requests.select(
-        "url",
-        F.floor(F.unix_millis(t_col) / F.lit(b_ms)).alias("_b"),
-        F.unix_millis(t_col).alias("_ms"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("string").alias("_id"),
-        F.lit(None).cast(caps.schema["_cap"].dataType).alias("_cap"),
-        F.struct(*req_cols).alias("_req"),
-    )
-    both = caps.unionByName(reqs)
-    part = Window.partitionBy("url", "_b")
+    req_type = "struct<" + ",".join(f"`{c}`:{requests.schema[c].dataType.simpleString()}" for c in req_cols) + ">"
+    caps = df.select("url", F.floor(F.unix_millis("date") / F.lit(b_ms)).alias("_b"),
+                     F.unix_millis("date").alias("_ms"), F.col("id").alias("_id"), cap_struct.alias("_cap"))
+    cap_type = caps.schema["_cap"].dataType
+    reqs = requests.select("url", F.floor(F.unix_millis(t_col) / F.lit(b_ms)).alias("_b"),
+                           F.unix_millis(t_col).alias("_ms"), F.struct(*req_cols).alias("_req"),
+                           F.monotonically_increasing_id().alias("_rk"))
+
+    # first/last capture and size of every non-empty (url, bucket), written once: it serves the split
+    # decision and the fallback for requests with an empty side
+    path = scratch_path(spark, "closest-buckets")
+    (caps.groupBy("url", "_b")
+     .agg(F.min_by("_cap", F.struct("_ms", "_id")).alias("_first"),
+          F.min_by("_cap", F.struct(-F.col("_ms"), F.col("_id"))).alias("_last"),
+          F.count(F.lit(1)).alias("_n"))
+     .write.parquet(path))
+    summary = spark.read.parquet(path)
+
+    hot = summary.where(F.col("_n") > max_group_rows).select(
+        "url", "_b", F.ceil(F.col("_n") / max_group_rows).cast("int").alias("_s"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = bounded_broadcast(hot, n_hot, MAX_HOT_BROADCAST)
+        caps = (caps.join(hot, ["url", "_b"], "left")
+                .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
+                            .otherwise(F.pmod(F.xxhash64("_id"), F.col("_s"))).cast("int")).drop("_s"))
+        reqs = (reqs.join(hot, ["url", "_b"], "left")
+                .withColumn("_hot", F.col("_s").isNotNull())
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s"))
+    else:
+        caps = caps.withColumn("_salt", F.lit(0))
+        reqs = reqs.withColumn("_hot", F.lit(False)).withColumn("_salt", F.lit(0))
+
+    both = caps.select("url", "_b", "_salt", "_ms", F.lit(0).alias("_kind"), "_id", "_cap",
+                       F.lit(None).cast(req_type).alias("_req"), F.lit(None).cast("bigint").alias("_rk"),
+                       F.lit(None).cast("boolean").alias("_hot")).unionByName(
+        reqs.select("url", "_b", "_salt", "_ms", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_id"),
+                    F.lit(None).cast(cap_type).alias("_cap"), "_req", "_rk", "_hot"))
+    part = Window.partitionBy("url", "_b", "_salt")
     # Both are running frames (unbounded preceding .. previous row), which Spark evaluates in one pass;
     # a frame reaching to unbounded following would be recomputed for every row.
     # last capture at or before the request: captures sort before requests at the same instant, and
@@ -224,17 +251,24 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     # smallest id comes last among captures of one instant
     w_next = (part.orderBy(F.col("_ms").desc(), F.col("_kind").desc(), F.col("_id").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    win = both.select("url", "_b", "_kind", "_ms", "_cap", "_req",
+    win = both.select("url", "_b", "_ms", "_kind", "_req", "_rk", "_hot",
                       F.last("_cap", ignorenulls=True).over(w_prev).alias("_prev"),
-                      F.last("_cap", ignorenulls=True).over(w_next).alias("_next"))
-    in_bucket = win.where(F.col("_kind") == 1)
-
-    # per-bucket first/last capture, then for every bucket holding requests the nearest non-empty
-    # bucket on each side (range frames exclude the bucket itself)
-    summary = (caps.groupBy("url", "_b")
-               .agg(F.min_by("_cap", F.struct("_ms", "_id")).alias("_first"),
-                    F.min_by("_cap", F.struct(-F.col("_ms"), F.col("_id"))).alias("_last")))
-    req_buckets = reqs.select("url", "_b").distinct()
+                      F.last("_cap", ignorenulls=True).over(w_next).alias("_next")).where(F.col("_kind") == 1)
+    cols = ["url", "_b", "_ms", "_req", "_prev", "_next"]
+    if n_hot:
+        # a split bucket's request has one partial answer per salt: keep the latest earlier capture
+        # (smallest id on ties) and the earliest later one
+        prev_key = F.when(F.col("_prev").isNotNull(), F.struct(-F.col("_prev.ms"), F.col("_prev.id")))
+        next_key = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next.ms"), F.col("_next.id")))
+        merged = (win.where(F.col("_hot")).groupBy("_rk", "url", "_b", "_ms")
+                  .agg(F.first("_req").alias("_req"), F.min_by("_prev", prev_key).alias("_prev"),
+                       F.min_by("_next", next_key).alias("_next")))
+        in_bucket = win.where(~F.col("_hot")).select(*cols).unionByName(merged.select(*cols))
+    else:
+        in_bucket = win.select(*cols)
+
+    # for every bucket holding requests, the nearest non-empty bucket on each side
+    req_buckets = requests.select("url", F.floor(F.unix_millis(t_col) / F.lit(b_ms)).alias("_b")).distinct()
     keyed = summary.join(req_buckets.withColumn("_q", F.lit(True)), ["url", "_b"], "full_outer")
     # one row per (url, bucket) after the outer join, so "preceding rows" are the earlier buckets
     earlier = Window.partitionBy("url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -42,8 +42,9 @@ def brute_closest(caps, reqs):
     return best
 
 
-@pytest.mark.parametrize("bucket", [3600, 86400, 10 * 86400])
-def test_closest_window_matches_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket,max_rows", [(3600, 2_000_000), (86400, 2_000_000), (10 * 86400, 2_000_000),
+                                             (10 * 86400, 7), (86400, 3)])
+def test_closest_window_matches_brute_force(spark, bucket, max_rows):
     urls = [f"com,ex)/{i}" for i in range(6)]
     caps = random_captures(400, urls, seed=bucket, hot=urls[0])
     rnd = random.Random(1)
@@ -51,7 +52,7 @@ def test_closest_window_matches_brute_force(spark, bucket):
             for k in range(300)]
     reqs += [(1000 + k, c[0], c[1]) for k, c in enumerate(caps[:30])]  # exact hits
     got = lookup.closest(spark.createDataFrame(reqs, "rid long, url string, t timestamp"), caps_df(spark, caps),
-                         bucket_seconds=bucket).collect()
+                         bucket_seconds=bucket, max_group_rows=max_rows).collect()
     got = {r.rid: (r.date, r.id, r.distance_ms) for r in got}
     assert got == brute_closest(caps, reqs)
 
