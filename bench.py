@@ -31,7 +31,7 @@ HEADLINE = [
     "first_per_digest", "facet_arc", "facet_arc_zero", "facet_year_mime", "facet_domain", "group_arc",
     "group_digest", "lookup_many", "keyset_page", "offset_page", "chunk_plan", "random_in_period",
     "random_order", "surt", "upsert_overlap", "upsert_latest", "parse_cdx", "reject_summary",
-    "lookup_many_decoded", "date_math_count", "mime_stats", "prefix_calendar",
+    "lookup_many_decoded", "date_math_count", "mime_stats", "prefix_calendar", "api_search",
 ]
 
 

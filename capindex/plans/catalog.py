@@ -476,4 +476,18 @@ def q_export_json(spark, sf_dir, caps=None):
     return back.select("id", "url", ts14("date").alias("ts14"), "mime", "response")
 
 
+
+@register("api_search", W(f"""
+SELECT concat_ws(',', replace(replace(ourl, '\\', '\\\\'), ',', '\\,'), strftime(date, '%Y-%m-%dT%H:%M:%SZ'),
+                 replace(replace(coalesce(mime, ''), '\\', '\\\\'), ',', '\\,'),
+                 replace(replace(arc, '\\', '\\\\'), ',', '\\,'), CAST("offset" AS VARCHAR)) AS value
+FROM captures WHERE ourl = {TGT_OURL} ORDER BY url, epoch_s, id LIMIT 10000"""))
+def q_api_search(spark, sf_dir, caps=None):
+    """The lookup entry point as the reference is called: a percent-encoded URL, default fields, CSV."""
+    from urllib.parse import quote
+    from ..operators.api import cdx_search
+    caps, t = caps_and_target(spark, sf_dir, caps)
+    return cdx_search(caps, quote(t.ourl, safe=""), fl="ourl,date,mime,arc,offset", output="csv")
+
+
 __all__ = ["QUERIES", "ORACLE", "register"]

@@ -257,3 +257,21 @@ def test_commit_upsert_key_across_months(spark, tmp_path):
                         key=("url",))
     store.commit_upsert(spark, root, spark.createDataFrame([("c", "u", feb)], schema), 2, key=("url",))
     assert sorted((r.url, r.id) for r in store.read_store(spark, root).collect()) == [("u", "c"), ("w", "b")]
+
+
+def test_cdx_search_and_convert(spark, tmp_path):
+    import json
+    from capindex.operators.api import cdx_search, convert_cdx
+    from capindex.schema import CDX_HEADER
+    df = spark.createDataFrame([("u", T0, "i1", "http://a/b?x=1,2", "text/html", "f.warc", 7)],
+                               "url string, date timestamp, id string, ourl string, mime string, arc string, offset long")
+    line = cdx_search(df, "http%3A%2F%2Fa%2Fb%3Fx%3D1%2C2").first().value
+    assert line == "http://a/b?x=1\\,2,2024-01-01T00:00:00Z,text/html,f.warc,7"
+    js = json.loads(cdx_search(df, "http://a/b?x=1,2", fl="ourl,date", output="json").first().value)
+    assert js == {"ourl": "http://a/b?x=1,2", "date": "2024-01-01T00:00:00Z"}
+    src = tmp_path / "x.cdx"
+    src.write_text(CDX_HEADER + "\ncom,ex)/p 20110225190307 http://ex.com/p text/html 200 DIG - - 1 5 a.warc.gz\n")
+    out = convert_cdx(spark, str(src))
+    assert out and convert_cdx(spark, str(src)) is None
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert "DIG20110225190307,com\\,ex)/p,2011-02-25T19:03:07Z,http://ex.com/p,text/html,200,DIG,,5,a.warc.gz,com\\,ex,p" in lines
