@@ -132,3 +132,17 @@ def test_wide_layout_optional_fields(spark):
     assert r.reject_reason is None and r.url == "com,ex)/p" and r.sdomain == "com,ex"
     assert (r.ip, r.digest, r.newdigest, r.offset, r.uoffset, r.doffset, r.udoffset) == ("1.2.3.4", "OLD", "NEW", 5, 50, None, 7)
     assert r.meta == ["A", "I"] and r.arclength == 123 and r.arc == "f.arc"
+
+
+def test_auto_layout_mixed_files(spark, tmp_path):
+    (tmp_path / "std.cdx").write_text(CDX_HEADER + "\n" + line() + "\n")
+    wide = " CDX A b e a m s c k r V v D d g M n"
+    (tmp_path / "wide.cdx").write_text(
+        wide + "\ncom,ex)/q 20110225190308 1.2.3.4 http://ex.com/q text/html 404 OLD NEW2 - 6 60 - - g.arc - 9\n")
+    (tmp_path / "noheader.cdx").write_text(line() + "\n")
+    parsed = cdx.read_cdx(spark, str(tmp_path), layout="auto")
+    rows = sorted((r.url, r.offset, r.response, r.ip, r.uoffset) for r in cdx.accepted(parsed).collect())
+    assert rows == [("com,ex)/p", 5, 200, None, None), ("com,ex)/q", 6, 404, "1.2.3.4", 60)]
+    assert cdx.rejected(parsed).count() == 0
+    short = spark.createDataFrame([("com,ex)/p 20110225190307 x", CDX_HEADER)], "value string, lay string")
+    assert cdx.parse_cdx(short, layout_col="lay").first().reject_reason == "column_count"
