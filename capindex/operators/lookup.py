@@ -98,15 +98,28 @@ def _ntile_of(idx: Column, total: int, n: int) -> Column:
 
 
 def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, partitions: int | None = None,
-               **conditions) -> DataFrame:
-    """Boundaries of ``n`` equal chunks of the ordered matches (``ntile`` semantics), computed in parallel.
-
-    The rows are range-partitioned and sorted by ``order``; a per-partition row count (one small row per
-    partition reaches the driver) gives each partition's global offset; each row's global position then
-    picks its chunk, and one aggregation yields ``chunk, n, first_* , last_*``. No single-partition window.
+               exact: bool = True, **conditions) -> DataFrame:
+    """Boundaries of ``n`` chunks of the ordered matches: ``chunk, n, first_*, last_*``.
+
+    ``exact=True``: equal chunks with ``ntile`` semantics, computed in parallel. The rows are
+    range-partitioned and sorted by ``order``, their positions written once to the shared folder; a
+    per-partition row count (one small row per partition reaches the driver) gives each partition's
+    global offset; each row's global position picks its chunk; one aggregation yields the boundaries.
+    No single-partition window.
+
+    ``exact=False``: one pass, nothing written: the range partitioner's own ``n`` ranges (sampled, so
+    near-equal), each published with its count and first/last key. Chunks are disjoint, ordered and
+    cover every row, which is what parallel export needs.
     """
     rows = match(df, **conditions).select(*order)
     spark = rows.sparkSession
+    if not exact:
+        key = F.struct(*order)
+        agg = (rows.repartitionByRange(n, *_asc(order)).select(F.spark_partition_id().alias("_p"), key.alias("_k"))
+               .groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
+        return agg.select((F.dense_rank().over(Window.orderBy("_p"))).cast("int").alias("chunk"), "n",
+                          *[F.col(f"_lo.{k}").alias(f"first_{k}") for k in order],
+                          *[F.col(f"_hi.{k}").alias(f"last_{k}") for k in order])
     parts = partitions or max(n, spark.sparkContext.defaultParallelism)
     ranked = (rows.repartitionByRange(parts, *_asc(order)).sortWithinPartitions(*_asc(order))
               .withColumn("_mid", F.monotonically_increasing_id()))

@@ -275,3 +275,12 @@ def test_cdx_search_and_convert(spark, tmp_path):
     assert out and convert_cdx(spark, str(src)) is None
     lines = [r.value for r in spark.read.text(out).collect()]
     assert "DIG20110225190307,com\\,ex)/p,2011-02-25T19:03:07Z,http://ex.com/p,text/html,200,DIG,,5,a.warc.gz,com\\,ex,p" in lines
+
+
+def test_chunk_plan_approximate_covers_in_order(spark):
+    rows = random_captures(300, ["a", "b", "c", "d"], seed=6)
+    df = caps_df(spark, rows).dropDuplicates(["url", "date", "id"])
+    plan = sorted(lookup.chunk_plan(df, 4, exact=False).collect(), key=lambda r: r.chunk)
+    assert sum(r.n for r in plan) == df.count() and [r.chunk for r in plan] == list(range(1, len(plan) + 1))
+    for a, b in zip(plan, plan[1:]):
+        assert (a.last_url, a.last_date, a.last_id) < (b.first_url, b.first_date, b.first_id)
