@@ -214,7 +214,7 @@ def test_versions_rewrite_only_touched_months(spark, tmp_path):
     b2 = spark.createDataFrame([("b", "u", feb, 2), ("c", "w", feb, 2)], schema)
     assert store.commit_upsert(spark, root, b1, 1)
     assert store.commit_upsert(spark, root, b2, 2)
-    assert store.manifest(spark, root) == {"202401": 1, "202402": 2}
+    assert store.manifest(spark, root) == {"202401": [1], "202402": [2]}  # feb had a replaced key
     import os
     assert [n for n in sorted(os.listdir(tmp_path / "st" / "data" / "w=2")) if n.startswith("pmonth")] == ["pmonth=202402"]
     got = {r.id: r.v for r in store.read_store(spark, root).collect()}
@@ -223,6 +223,18 @@ def test_versions_rewrite_only_touched_months(spark, tmp_path):
     assert [r.id for r in store.read_store(spark, root, months={"202401"}).collect()] == ["a"]
     assert [r.id for r in store.read_store(spark, root, start="2024-02-01T00:00:00Z").collect()] != []
     assert {r.id for r in store.read_store(spark, root, end="2024-01-31T00:00:00Z").collect()} == {"a"}
+    # new keys only: appended as a new part, existing parts untouched
+    assert store.commit_upsert(spark, root, spark.createDataFrame([("d", "u", feb, 3)], schema), 3)
+    assert store.manifest(spark, root) == {"202401": [1], "202402": [2, 3]}
+    assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 2, "d": 3}
+    # a replaced key in a month with two parts: the month is merged into one part
+    assert store.commit_upsert(spark, root, spark.createDataFrame([("c", "w", feb, 4)], schema), 4)
+    assert store.manifest(spark, root) == {"202401": [1], "202402": [4]}
+    assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 4, "d": 3}
+    assert store.commit_upsert(spark, root, spark.createDataFrame([("e", "u", jan, 5)], schema), 5)
+    assert store.compact(spark, root, 6) == ["202401"]
+    assert store.manifest(spark, root) == {"202401": [6], "202402": [4]}
+    assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 4, "d": 3, "e": 5}
 
 
 def test_descending_sort_and_facet_limit(spark):
