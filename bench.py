@@ -86,7 +86,7 @@ def main() -> None:
     from capindex.sources.ingest import stage_lines
     good_files = cfiles._files_of(files_root)[:2]  # plain + gzip (the wrong-header copy is one long task)
     parse_lines = spark.read.text(good_files).count()
-    parse_sec = timed(lambda: run(stage_lines(read_lines(spark, good_files))), repeat)
+    parse_sec = timed(lambda: run(stage_lines(read_lines(spark, good_files))), max(repeat, 3))
 
     ingest_lines = spark.read.text(cfiles._files_of(files_root)).count()
     ingest_root = scratch_path(spark, "bench-ingest")

@@ -217,6 +217,9 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     b_ms = int(bucket_seconds) * 1000
     cap_struct = F.struct(F.unix_millis("date").alias("ms"), *[F.col(p) for p in payload])
     req_type = "struct<" + ",".join(f"`{c}`:{requests.schema[c].dataType.simpleString()}" for c in req_cols) + ">"
+    # a null URL or instant matches nothing (window partitions would group nulls together)
+    df = df.where(F.col("url").isNotNull() & F.col("date").isNotNull())
+    requests = requests.where(F.col("url").isNotNull() & F.col(t_col).isNotNull())
     caps = df.select("url", F.floor(F.unix_millis("date") / F.lit(b_ms)).alias("_b"),
                      F.unix_millis("date").alias("_ms"), F.col("id").alias("_id"), cap_struct.alias("_cap"))
     cap_type = caps.schema["_cap"].dataType

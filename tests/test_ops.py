@@ -58,7 +58,9 @@ def test_closest_window_matches_brute_force(spark, bucket, max_rows):
 
 
 def test_closest_max_distance_and_unmatched(spark):
-    caps = caps_df(spark, [("u", T0, "a", None)])
+    caps = caps_df(spark, [("u", T0, "a", None), (None, T0, "n", None)])
+    nulls = spark.createDataFrame([(9, None, T0)], "rid long, url string, t timestamp")
+    assert lookup.closest(nulls, caps).count() == 0
     reqs = spark.createDataFrame([(1, "u", T0 + dt.timedelta(hours=2)), (2, "v", T0)], "rid long, url string, t timestamp")
     assert lookup.closest(reqs, caps, max_distance_ms=3600 * 1000).count() == 0
     out = lookup.closest(reqs, caps, keep_unmatched=True).orderBy("rid").collect()
