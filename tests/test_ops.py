@@ -229,13 +229,13 @@ def test_versions_rewrite_only_touched_months(spark, tmp_path):
     assert store.commit_upsert(spark, root, spark.createDataFrame([("d", "u", feb, 3)], schema), 3)
     assert store.manifest(spark, root) == {"202401": [1], "202402": [2, 3]}
     assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 2, "d": 3}
-    # a replaced key in a month with two parts: the month is merged into one part
+    # a replaced key in a month with two parts: only the part holding it is rewritten
     assert store.commit_upsert(spark, root, spark.createDataFrame([("c", "w", feb, 4)], schema), 4)
-    assert store.manifest(spark, root) == {"202401": [1], "202402": [4]}
+    assert store.manifest(spark, root) == {"202401": [1], "202402": [3, 4]}
     assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 4, "d": 3}
     assert store.commit_upsert(spark, root, spark.createDataFrame([("e", "u", jan, 5)], schema), 5)
-    assert store.compact(spark, root, 6) == ["202401"]
-    assert store.manifest(spark, root) == {"202401": [6], "202402": [4]}
+    assert store.compact(spark, root, 6) == ["202401", "202402"]
+    assert store.manifest(spark, root) == {"202401": [6], "202402": [6]}
     assert {r.id: r.v for r in store.read_store(spark, root).collect()} == {"a": 1, "b": 2, "c": 4, "d": 3, "e": 5}
 
 
