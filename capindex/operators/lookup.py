@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.time import instant, lit_ts, time_distance
 from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER
 from ..plans.guards import bounded_broadcast
-from ..session import scratch_path
+from ..session import default_parallelism, scratch_path
 from .predicates import match
 
 
@@ -120,7 +120,7 @@ def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, part
         return agg.select((F.dense_rank().over(Window.orderBy("_p"))).cast("int").alias("chunk"), "n",
                           *[F.col(f"_lo.{k}").alias(f"first_{k}") for k in order],
                           *[F.col(f"_hi.{k}").alias(f"last_{k}") for k in order])
-    parts = partitions or max(n, spark.sparkContext.defaultParallelism)
+    parts = partitions or max(n, default_parallelism(spark))
     ranked = (rows.repartitionByRange(parts, *_asc(order)).sortWithinPartitions(*_asc(order))
               .withColumn("_mid", F.monotonically_increasing_id()))
     # documented layout of monotonically_increasing_id: partition id in the upper 31 bits

@@ -36,22 +36,41 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", UTC)
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for sessions without one (e.g. Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir`` or the context's checkpoint dir).
 
     Only when neither is set (tests, a laptop) a private folder is created and registered, so later
     ``checkpoint()`` calls and written tables land in the same place.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    sc = _context(spark)
+    d = sc.getCheckpointDir() if sc is not None else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="capindex-")
-        sc.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
+        else:
+            spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (falls back to the shuffle partition count)."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
