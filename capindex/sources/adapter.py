@@ -54,7 +54,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture table (12 capture columns + ``event_id``) derived from ``events`` and ``pages``."""
     ensure_utc(spark)
     pages = table(spark, sf_dir, "pages")
-    n_pages = pages.count()  # a literal for the join key; Parquet answers it from footers
+    n_pages = _page_count(spark, sf_dir, pages)  # a literal for the join key
     keys = page_keys(pages)
     ev = table(spark, sf_dir, "events").select(
         "event_id", "event_type", "value",
@@ -144,16 +144,33 @@ class Target:
 
 
 _TARGETS: dict[tuple, Target] = {}
+_COUNTS: dict[tuple, int] = {}
 
 
-def target(spark: SparkSession, sf_dir: str, page_id: int = 0) -> Target:
-    """The request of the lookup queries (one row of ``pages``), remembered per table file version."""
-    path = f"{sf_dir.rstrip('/')}/pages.parquet"
+def _file_key(sf_dir: str, name: str):
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     try:
         st = os.stat(path)
-        key = (path, page_id, st.st_mtime_ns, st.st_size)
-    except OSError:  # not a local path: always ask Spark
-        key = None
+    except OSError:  # not a local path: no memo
+        return None
+    return (path, st.st_mtime_ns, st.st_size)
+
+
+def _page_count(spark: SparkSession, sf_dir: str, pages: DataFrame) -> int:
+    """Row count of ``pages`` (answered from Parquet footers), remembered per table file version."""
+    key = _file_key(sf_dir, "pages")
+    if key is not None and key in _COUNTS:
+        return _COUNTS[key]
+    n = pages.count()
+    if key is not None:
+        _COUNTS[key] = n
+    return n
+
+
+def target(spark: SparkSession, sf_dir: str, page_id: int = 0) -> Target:
+    """The request of the lookup queries (one row of ``pages``), remembered per table file version."""
+    fk = _file_key(sf_dir, "pages")
+    key = None if fk is None else (*fk, page_id)
     if key is not None and key in _TARGETS:
         return _TARGETS[key]
     r = page_keys(table(spark, sf_dir, "pages")).where(F.col("page_id") == page_id).first()
