@@ -6,7 +6,7 @@ from __future__ import annotations
 import random as _random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import instant, lit_ts, time_distance
@@ -230,16 +230,21 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     # first/last capture and size of every non-empty (url, bucket), written once: it serves the split
     # decision and the fallback for requests with an empty side
     path = scratch_path(spark, "closest-buckets")
+    # the number of buckets to split is observed while the summary is written (no second pass; there is
+    # no range exchange here, whose sampling job would also feed the metric). It only chooses the plan:
+    # the buckets split are read from the summary itself.
+    seen = Observation("closest-buckets")
     (caps.groupBy("url", "_b")
      .agg(F.min_by("_cap", F.struct("_ms", "_id")).alias("_first"),
           F.min_by("_cap", F.struct(-F.col("_ms"), F.col("_id"))).alias("_last"),
           F.count(F.lit(1)).alias("_n"))
+     .observe(seen, F.count_if(F.col("_n") > max_group_rows).alias("hot"))
      .write.parquet(path))
     summary = spark.read.parquet(path)
 
     hot = summary.where(F.col("_n") > max_group_rows).select(
         "url", "_b", F.ceil(F.col("_n") / max_group_rows).cast("int").alias("_s"))
-    n_hot = hot.count()
+    n_hot = seen.get["hot"] or 0
     if n_hot:
         hot = bounded_broadcast(hot, n_hot, MAX_HOT_BROADCAST)
         caps = (caps.join(hot, ["url", "_b"], "left")
