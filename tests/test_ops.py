@@ -298,3 +298,19 @@ def test_chunk_plan_approximate_covers_in_order(spark):
     assert sum(r.n for r in plan) == df.count() and [r.chunk for r in plan] == list(range(1, len(plan) + 1))
     for a, b in zip(plan, plan[1:]):
         assert (a.last_url, a.last_date, a.last_id) < (b.first_url, b.first_date, b.first_id)
+
+
+def test_scale_plan_shapes(spark, tmp_path):
+    rows = random_captures(300, ["a", "b", "c"], seed=12)
+    path = str(tmp_path / "s")
+    store.write_layout(caps_df(spark, rows), path, 4)
+    caps = spark.read.parquet(path)
+    reqs = caps.select(F.col("id").alias("rid"), "url", F.col("date").alias("t"))
+    import re
+    plan = re.sub(r"#\d+L?", "", physical_plan(lookup.closest(reqs, caps), "simple"))
+    # the only exchange carrying every capture and request is the (url, bucket, salt) one
+    assert plan.count("hashpartitioning(url, _b, _salt") == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    batch = caps.limit(5)
+    plan = physical_plan(store.upsert(caps, batch), "simple")
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
