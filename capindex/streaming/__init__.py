@@ -1,3 +1,3 @@
 """Structured Streaming ingest of arriving CDX files."""
 
-from .ingest import ingest_stream, parse_batch  # noqa: F401
+from .ingest import ingest_stream  # noqa: F401
