@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry_mod
 from oracle_compare import compare, duck
 
-NAMES = sorted(entry_mod.queries())
+NAMES = sorted(entry_mod.catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,8 @@ def con(small_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry_mod.oracle_sql())
+    assert set(NAMES) <= set(entry_mod.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
