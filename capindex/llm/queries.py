@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capindex.llm.common import table
 from capindex.llm.pii import pii_report
+from capindex.llm.quality import quality_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +33,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_pii")
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
