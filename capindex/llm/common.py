@@ -42,3 +42,19 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Words between white space; null and blank texts have none."""
     return F.filter(F.split(text_or_empty(text), BLANKS, -1), lambda w: w != "")
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint when its counted rows times ``row_bytes`` stay below ``limit`` bytes; else a join
+    shuffles it. Give it staged tables: their count reads no data."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def grams(hashes: Column, k: int, n: Column, seed: int = 0) -> Column:
+    """Hashes of the ``k`` consecutive entries that start at each of the ``n`` entries of an array column.
+
+    ``hashes`` must be a column of its own (not an expression): it is read again at every position.
+    """
+    first = [F.lit(seed)] if seed else []
+    return F.filter(F.transform(hashes, lambda x, i: F.when(i + k <= n, F.xxhash64(
+        *first, x, *[F.get(hashes, i + j) for j in range(1, k)]))), lambda x: x.isNotNull())

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capindex.llm.common import BLANKS, stage, text_or_empty, words_of
+from capindex.llm.common import BLANKS, grams, stage, text_or_empty, words_of
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PCT = 10, 20
@@ -65,9 +65,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("bigint"),
         "__q_hash": F.transform(ws, lambda w: F.xxhash64(w))}).drop("__q_words", "__q_lines")
     h = F.col("__q_hash")
-    out = out.withColumn("__q_window", F.filter(
-        F.transform(h, lambda x, i: F.when(i + WINDOW <= F.col("n_words"), F.xxhash64(
-            x, *[F.get(h, i + k) for k in range(1, WINDOW)]))), lambda x: x.isNotNull())).withColumn("n_stutter", F.size(F.filter(
+    out = out.withColumn("__q_window", grams(h, WINDOW, F.col("n_words"))).withColumn("n_stutter", F.size(F.filter(
             h, lambda x, i: F.coalesce(x == F.get(h, i - 1), F.lit(False)))).cast("bigint")).drop("__q_hash")
     w, p = F.col("__q_window"), F.col("__q_pairs")
     # Only texts with a window twice are sorted; the others have no repeated words.
