@@ -15,6 +15,7 @@ from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
 from capindex.llm.pii import pii_report
 from capindex.llm.quality import quality_report
+from capindex.llm.sharding import SHARD_BYTES, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,16 @@ FROM e GROUP BY conv_id
 """)
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op3_sharding", f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+n AS (SELECT d, h >> (60 - d) AS p, sum(n_bytes) AS b FROM r, range(0, 41) AS t(d) GROUP BY d, h >> (60 - d)),
+s AS (SELECT doc_id, n_bytes, min({{'d': CAST(d AS INTEGER), 'p': p, 'b': b}}) AS s
+      FROM r JOIN n ON n.p = r.h >> (60 - n.d) WHERE b <= {SHARD_BYTES} GROUP BY doc_id, n_bytes)
+SELECT doc_id, n_bytes, CASE WHEN s.d = 0 THEN '' ELSE to_base(s.p, 2, s.d) END AS shard, s.d AS depth,
+       CAST(s.b AS BIGINT) AS shard_bytes FROM s
+""")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
