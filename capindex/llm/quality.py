@@ -217,10 +217,12 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     Documents with base_failed have a null distance. Repeated rows are judged alike; an empty table stays empty.
     """
     given = [c for c in df.columns if c not in ("kept", "distance")]
+    return _verdicts(stage(_with_vector(df.select(*[F.col(f"`{c}`") for c in given]), text, lang, source), "quality-statistics"))
+
+
+def _with_vector(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     group = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NO_GROUP))
-    stats = text_statistics(df.select(*[F.col(f"`{c}`") for c in given]), text).withColumns(
-        {"g_lang": group(lang), "g_source": group(source)}).withColumns(_vector())
-    return _verdicts(stage(stats, "quality-statistics"))
+    return text_statistics(df, text).withColumns({"g_lang": group(lang), "g_source": group(source)}).withColumns(_vector())
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
@@ -233,8 +235,8 @@ def _verdicts(rows: DataFrame) -> DataFrame:
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
-    """The digest per document."""
-    out = judge(documents.select("doc_id", "text", "lang", "source").select(
-        "doc_id", "lang", "source", "text"))
+    """The digest per document; the texts themselves are not staged."""
+    stats = _with_vector(documents.select("doc_id", "text", "lang", "source"), "text", "lang", "source").drop("text")
+    out = _verdicts(stage(stats, "quality-statistics"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                       "distance")
