@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from capindex.llm.chat import chat_report
 from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
+from capindex.llm.jaccard import jaccard_report
 from capindex.llm.pii import pii_report
 from capindex.llm.quality import quality_report
 from capindex.llm.sharding import SHARD_BYTES, shard
@@ -89,3 +90,20 @@ SELECT doc_id, n_bytes, CASE WHEN s.d = 0 THEN '' ELSE to_base(s.p, 2, s.d) END
 """)
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard", f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, w[p:p + least(5, len(w)) - 1] AS g FROM w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS t(p)
+      WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+""")
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(table(spark, sf_dir, "documents"))
