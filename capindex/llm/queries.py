@@ -14,6 +14,7 @@ from capindex.llm.chat import chat_report
 from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
 from capindex.llm.jaccard import jaccard_report
+from capindex.llm.packing import packing_report
 from capindex.llm.pii import pii_report
 from capindex.llm.quality import quality_report
 from capindex.llm.sharding import SHARD_BYTES, shard
@@ -107,3 +108,8 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 """)
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"))
