@@ -1,7 +1,13 @@
 """Corpus pipeline: documents through quality rules, line dedup, Jaccard join, decontamination and packing.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, written as
-Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``:
+
+``quality``        documents that the rules reject go
+``linededup``      blocks that an earlier document has are deleted; documents left without a word go
+``jaccard``        of each group of near copies the document of the least id stays
+``decontaminate``  documents that share a window with a benchmark item go
+``packing``        what is left, as pieces of token sequences
 """
 
 from __future__ import annotations
@@ -9,10 +15,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from capindex.llm.common import stage, table
+from capindex.llm.decontaminate import decontaminated
+from capindex.llm.jaccard import one_of_each
+from capindex.llm.linededup import dedup_lines
+from capindex.llm.packing import packing_report
+from capindex.llm.quality import judge
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def linededup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing_report(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("linededup", linededup), ("jaccard", jaccard), ("decontaminate", decontaminate), ("packing", packing)]
 
 #: SQL can't express the covariance estimates, the alignment or the packing order; tests use brute force.
 ORACLE_SQL = None
