@@ -14,6 +14,7 @@ from capindex.llm.chat import chat_report
 from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
 from capindex.llm.jaccard import jaccard_report
+from capindex.llm.langid import language_report
 from capindex.llm.linededup import line_report
 from capindex.llm.packing import packing_report
 from capindex.llm.pii import pii_report
@@ -119,3 +120,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_linededup")
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_langid")
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
