@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from capindex.llm.chat import chat_report
 from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
+from capindex.llm.htmlextract import extraction_report
 from capindex.llm.jaccard import jaccard_report
 from capindex.llm.langid import language_report
 from capindex.llm.linededup import line_report
@@ -125,3 +126,8 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_langid")
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html")
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction_report(table(spark, sf_dir, "pages"))
