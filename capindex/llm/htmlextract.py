@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from capindex.llm.htmltree import Tree, parse
 from capindex.llm.labelled_pages import labelled_pages
@@ -212,7 +213,7 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html", in
             texts = [main_text(h, model) for h in b.column(html).to_pylist()]
             yield b.append_column(into, pa.array(texts, pa.string()))
 
-    return given.mapInArrow(run, given.schema.add(into, "string"))
+    return given.mapInArrow(run, StructType([*given.schema.fields, StructField(into, StringType())]))
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:

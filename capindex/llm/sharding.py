@@ -74,7 +74,7 @@ def _split(rows: DataFrame, limit: int) -> DataFrame:
         depth = min(BITS, depth + MORE)
         levels.append(stage(_cells(rest, depth, limit), "shard-cells"))
     directory = broadcast_if_small(stage(_directory(levels, limit), "shard-directory"), 64)
-    depths = sorted({r[0] for r in directory.select("level").distinct().collect()})
+    depths = sorted({r[0] for r in directory.select("level").distinct().collect()}) or [depth]
     out = rows.withColumn("__at", F.array(*[F.struct(F.lit(d).alias("level"), _top("h", d).alias("cell")) for d in depths]))
     if len(depths) == 1:
         out = out.withColumn("__at", F.col("__at")[0])

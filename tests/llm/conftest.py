@@ -1,0 +1,17 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """A documents table from (doc_id, text) or (doc_id, text, lang, source) rows, with a column that clashes with nothing."""
+
+    def make(rows):
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None if r[1] is None else len(r[1])) for r in rows]
+        return spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def small_docs(spark, small_dir):
+    return spark.read.parquet(f"{small_dir}/documents.parquet")

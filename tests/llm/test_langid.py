@@ -1,0 +1,46 @@
+import binascii
+
+from pyspark.sql import functions as F
+
+from capindex.llm.langid import identify, language_report, train
+
+
+def out(i):
+    return binascii.crc32(str(i).encode()) % 3 == 1
+
+
+def test_held_out_accuracy(small_docs):
+    rows = {r.doc_id: r for r in language_report(small_docs).collect()}
+    true = {r.doc_id: r.lang for r in small_docs.collect()}
+    held = [i for i in true if out(i)]
+    assert {i for i, r in rows.items() if r.held_out} == set(held)
+    assert sum(rows[i].lang_pred == true[i] for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows.values())
+
+
+def test_held_out_rows_teach_nothing(small_docs):
+    wrong = small_docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit("xx")).otherwise(F.col("lang")))
+    a = {(r.doc_id, r.lang_pred) for r in language_report(small_docs).collect()}
+    b = {(r.doc_id, r.lang_pred) for r in language_report(wrong.withColumn("source", F.lit("q"))).collect()}
+    assert a == b
+
+
+def test_odd_texts(spark, small_docs):
+    model = train(small_docs)
+    rows = [(1, None), (2, ""), (3, "123 .,²"), (4, "the"), (None, "la que de"), (6, "und " * 300_000), (7, "日本")]
+    got = identify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    assert [r.lang_pred for r in got[:3]] == ["und"] * 3
+    assert got[5].lang_pred == "de" and all(r.lang_pred in model.languages for r in got[3:])
+
+
+def test_nothing_to_learn_from(docs_of):
+    assert language_report(docs_of([])).count() == 0
+    r = language_report(docs_of([(1, "some words", None, None)])).first()
+    assert r.lang_pred == "und" and r.score == 0
+
+
+def test_many_languages(spark):
+    rows = [(i, f"zaq{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k:02d}") for i, k in enumerate(list(range(70)) * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(df, train(df)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)

@@ -1,0 +1,79 @@
+import random
+
+from capindex.llm.linededup import common_blocks, cut_lines, dedup_lines, duplicate_lines, line_hashes, line_report, patience, run_ends
+
+R = random.Random(4)
+
+
+def sentence(n=None):
+    return " ".join("".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(n or R.randint(4, 14))).capitalize() + "."
+
+
+def prose(n):
+    return " ".join(sentence() for _ in range(n))
+
+
+def test_cutting_loses_nothing():
+    for t in ["", "a", "a. b", "a.\n\n b\n", " x \n", "One. Two! Three? four " * 30, "w " * 200, "no end " * 50 + "\n. . .", "a.b c.  d"]:
+        parts = cut_lines(t)
+        assert "".join(parts) == t and len(parts) % 2 == 1
+
+
+def test_patience_aligns_unique_lines():
+    a, b = list(range(10)), [0, 1, 50, 2, 3, 51, 5, 6, 9]
+    m = patience(a, b)
+    assert m == {0: 0, 1: 1, 2: 3, 3: 4, 5: 6, 6: 7, 9: 8}
+    assert patience([], [1]) == {} and patience([1, 1, 2, 1], [1, 2]) == {0: 0, 2: 1}
+
+
+def test_blocks_that_changed_places_are_found():
+    first, sizes = list(range(20)), [9] * 20
+    later = [*range(10, 16), 99, *range(0, 6), 98]
+    assert common_blocks(later, [9] * 14, first, sizes) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
+    assert common_blocks([99, 3, 98, 4], [9] * 4, first, sizes) == []
+
+
+def test_run_ends():
+    assert run_ends([10, 10, 10, 30, 2]) == [3, 4, 4, 4] and run_ends([]) == [] and run_ends([24]) == []
+
+
+def test_passages_go_from_all_but_the_first(docs_of):
+    passage, other = prose(8), prose(9)
+    docs = {i: " ".join(prose(6) + s for s in ("\n", "")) for i in range(60)}
+    for i in range(10, 30):
+        docs[i] = f"{prose(3)} {passage} {prose(3)}"
+    for i in range(25, 40):
+        docs[i] += f"\n{other}\n{prose(2)}"
+    docs[50] = f"{prose(1)} {other} {prose(1)} {passage} {prose(1)}"
+    copies = {100 + i: docs[3] for i in range(40)}
+    rows = [*docs.items(), *copies.items(), (200, None), (201, ""), (None, docs[4]), (7, docs[7])]
+    out = dedup_lines(docs_of(rows).selectExpr("*", "'x' as cut", "1 as key"))
+    assert out.columns[-2:] == ["cut", "key"]
+    got = [(r.doc_id, r.text, r.n_chars) for r in out.collect()]
+    left = {d: t for d, t, _ in got}
+    assert all(n is None and t is None or n == len(t) for _, t, n in got)
+    inner = passage[: passage.rindex(".", 0, -1)]
+    assert [d for d, t in left.items() if inner in (t or "")] == [10]
+    assert [d for d, t in left.items() if other in (t or "")] == [25]
+    assert not set(copies) & set(left) and None not in left
+    assert left[200] is None and left[201] == "" and sum(d == 7 for d, _, _ in got) == 2
+    for i in [*range(10), *range(41, 50), *range(51, 60)]:
+        assert left[i] == docs[i]
+
+
+def test_deleted_lines_stand_in_an_earlier_document(small_docs):
+    texts = {r.doc_id: r.text for r in small_docs.collect()}
+    cuts = {r.doc_id: r.cut for r in duplicate_lines(small_docs).collect()}
+    seen: set = set()
+    for d in sorted(texts):
+        hashes = line_hashes(texts[d])[0]
+        assert {hashes[k] for k in cuts.get(d, [])} <= seen
+        seen |= set(hashes)
+    assert cuts
+
+
+def test_report_and_empty_table(docs_of):
+    assert dedup_lines(docs_of([])).count() == 0
+    t = prose(10)
+    rows = {r.doc_id: r for r in line_report(docs_of([(1, t), (2, t + " Own words are here."), (3, None)])).collect()}
+    assert [rows[k].changed for k in (1, 2, 3)] == [False, True, False] and rows[2].n_chars == len("Own words are here.")

@@ -1,0 +1,72 @@
+import hashlib
+import re
+
+from capindex.llm.pii import find_pii, mask_pii, pii_report
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def digits(v):
+    return re.sub("[^0-9]", "", v)
+
+
+PLAIN = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 14 <= len(digits(v)) <= 19 and luhn(digits(v))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= len(digits(v)) <= 15),
+]
+
+
+def brute(text):
+    out = [(m.start(), k, n, m.end()) for k, (n, p, ok) in enumerate(PLAIN) for m in re.finditer(p, text or "") if ok(m[0])]
+    return ",".join(f"{n}:{s}:{e}" for s, _, n, e in sorted(out))
+
+
+CASES = [
+    "a@b.c_d@e.f.g", "99.1.2.3.4.5.6.7 1.2.3.256 000255.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "é😀 x@y.zz",
+    "+1 (555) 123-4567 ext +44 20", "", None, "x" * 20000, "1" * 20000, "a@b" + ".c" * 20000, "1.2.3.4.5.6.7.8 1..2.3.4",
+    "+1((((555 1234567", "-_@-.-", "a" * 3000 + "@", "same@x.org same@x.org", "+1(" * 2000, "4111111111111111 card 4111111111111111"]
+
+
+def test_base_spans_equal_plain_patterns(spark, small_docs):
+    rows = [(i, c) for i, c in enumerate(CASES)] + [(1000 + r.doc_id, r.text) for r in small_docs.collect()]
+    got = pii_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        b = brute(want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(b.encode()).hexdigest(), (r, b)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [b.count(f"{k}:") for k, _, _ in PLAIN]
+        assert set(filter(None, b.split(","))) <= set(r.spans.split(","))
+
+
+def test_added_kinds_scores_and_mask(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 IS GOOD"), (2, "DE88 3704 0044 0532 0130 00"), (3, "my ssn 123-45-6789"), (4, "no 123-45-6789"),
+            (5, 'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" x'), (6, "hash: 9c8b45435718dcc700c184a7e303cdc64c6a8f7f"), (7, "mail: a@b.cc")]
+    df = find_pii(spark.createDataFrame(rows, "id int, body string"), "body")
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.pii] for r in df.collect()}
+    assert got[1] == [("iban", 5, 32)] and got[2] == [] and got[3] == [("ssn", 7, 18)] and got[4] == []
+    assert got[5] == [("secret", 9, 49)] and got[6] == []
+    text = {r.id: r.body for r in mask_pii(df, "body").collect()}
+    assert text[1] == "IBAN [iban] IS GOOD" and text[7] == "mail: [email]" and text[4] == rows[3][1]
+
+
+def test_context_raises_the_score(spark):
+    rows = [(1, "call +1 555 123 4567"), (2, "xx +1 555 123 4567")]
+    got = {r.doc_id: r.best_score for r in pii_report(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1] > got[2]
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([], "doc_id int, text string, pii int, rank string, kind string")
+    assert find_pii(df).count() == 0
+    one = spark.createDataFrame([(1, "a@b.cc", 3, "r", "k")], df.schema)
+    r = find_pii(one).first()
+    assert (r["rank"], r["kind"], len(r["pii"])) == ("r", "k", 1)

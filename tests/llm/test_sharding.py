@@ -1,0 +1,65 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from capindex.llm.sharding import shard, write_shards
+
+
+def bits(key):
+    h = int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16)
+    return f"{h:060b}"
+
+
+def brute(rows, limit):
+    """Split buckets over the limit on the next bit."""
+    out, todo = {}, [("", [(bits(k), k, n) for k, n in rows])]
+    while todo:
+        name, bucket = todo.pop()
+        if sum(n for _, _, n in bucket) <= limit or len({b for b, _, _ in bucket}) == 1 and len(name) >= 60:
+            out.update({k: name for _, k, _ in bucket})
+            continue
+        for bit in "01":
+            part = [x for x in bucket if x[0][len(name)] == bit]
+            if part:
+                todo.append((name + bit, part))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200, 3000, 10**9])
+def test_equals_repeated_splitting(spark, limit):
+    rows = [(i, "é" * (i * 37 % 50)) for i in range(400)]
+    got = {r.doc_id: r for r in shard(spark.createDataFrame(rows, "doc_id bigint, text string"), limit).collect()}
+    want = brute([(k, len(t.encode())) for k, t in rows], limit)
+    assert {k: r.shard for k, r in got.items()} == want
+    assert all(len(r.shard) == r.depth for r in got.values())
+
+
+def check(rows, limit):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    names = sorted(by)
+    for a, b in zip(names, names[1:]):
+        assert not b.startswith(a)
+    for v in by.values():
+        assert sum(r.n_bytes for r in v) == v[0].shard_bytes
+        assert v[0].shard_bytes <= limit or len(v) == 1
+    return by
+
+
+def test_hot_keys_equal_rows_and_large_rows(spark):
+    rows = [(None, "a" * 50)] * 60 + [(7, "b" * 40 + str(i)) for i in range(60)] + [(i, "c" * 30) for i in range(100, 160)] + [(9, "d" * 5000), (11, None)]
+    got = shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 300).collect()
+    assert len(got) == len(rows)
+    assert len(check(got, 300)) > 20
+
+
+def test_empty_table_and_files(spark, tmp_path):
+    assert shard(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id bigint, text string")
+    write_shards(df, str(tmp_path / "s"), 1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 50 and back.select("shard").distinct().count() >= 5
+    with pytest.raises(ValueError):
+        shard(df, 0)
