@@ -52,7 +52,7 @@ def parse_timestamp(c: Column | str) -> Column:
     part = lambda a, n: F.substring(s, a, n).try_cast("int")
     ts = F.try_make_timestamp(part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2),
                               part(13, 2), F.lit("UTC"))
-    return F.when(s.rlike(r"^[0-9]{14}$"), ts)
+    return F.when(s.rlike(r"^[0-9]{12}[0-5][0-9]$"), ts)  # Spark would take second 60 for the next minute
 
 
 def capture_id(digest: Column | str, timestamp: Column | str) -> Column:

@@ -7,7 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def cdx_search(df: DataFrame, url: str, fl: str | Sequence[str] | None = None, l
     escaped-CSV line; the result is a one-column (``value``) DataFrame, written or streamed by the caller.
     """
     cols = [c.strip() for c in fl.split(",")] if isinstance(fl, str) else list(fl or DEFAULT_FIELDS)
-    rows = search(df, ourl=unquote(url), columns=cols, limit=DEFAULT_LIMIT if limit is None else limit,
+    rows = search(df, ourl=unquote_plus(url), columns=cols, limit=DEFAULT_LIMIT if limit is None else limit,
                   offset=offset or 0)
     if output == "json":
         # timestamps as the export text (UTC, trailing Z), like the CSV cells
@@ -39,9 +39,23 @@ def cdx_search(df: DataFrame, url: str, fl: str | Sequence[str] | None = None, l
 
 def convert_cdx(spark: SparkSession, path: str, out: str | None = None) -> str | None:
     """Convert CDX file(s) at ``path`` into escaped CSV at ``out`` (default ``path + '.csv'``). Returns the
-    output path, or None when it already exists (nothing is redone)."""
+    output path, or None when it is already complete (nothing is redone)."""
     out = out or f"{path.rstrip('/')}.csv"
-    if path_exists(spark, out):
+    if path_exists(spark, f"{out}/_SUCCESS"):
         return None
-    write_escaped_csv(accepted(read_cdx(spark, path)), out)
+    # a folder without the writer's mark is what an interrupted run left
+    write_escaped_csv(accepted(read_cdx(spark, path)), out, mode="overwrite")
+    return out
+
+
+def convert_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str | None, str]]:
+    """:func:`convert_cdx` for each of several sources: (source, output, ``converted`` | ``exists`` | ``missing``). A missing
+    source is reported and the others go on."""
+    out = []
+    for p in paths:
+        if not path_exists(spark, p):
+            out.append((p, None, "missing"))
+            continue
+        done = convert_cdx(spark, p)
+        out.append((p, done or f"{p.rstrip('/')}.csv", "converted" if done else "exists"))
     return out

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_utc
 from .predicates import match, match_condition
 
 FACETS = {
@@ -47,6 +48,7 @@ def facet(df: DataFrame, by: str | Column | Sequence[str | Column] = "arc", min_
     with ``count_if`` (no join against a list of distinct values). ``limit`` keeps the ``limit`` largest
     counts (ties by value); the default is no cut-off.
     """
+    ensure_utc(df.sparkSession)  # years are those of UTC
     keys = [_facet_col(b) for b in ([by] if isinstance(by, (str, Column)) else by)]
     if min_count <= 0:
         cond = match_condition(**conditions)
@@ -87,6 +89,7 @@ def first_per_digest(df: DataFrame, by: Sequence[str] = ("url",), fields: Sequen
 
 def capture_calendar(df: DataFrame, unit: str = "day", **conditions) -> DataFrame:
     """Captures per calendar unit (``year``, ``month``, ``day``, ``hour``) as ``period, n``."""
+    ensure_utc(df.sparkSession)
     fmt = CALENDAR_UNITS[unit]
     return (match(df, **conditions).groupBy(F.date_format("date", fmt).alias("period"))
             .agg(F.count(F.lit(1)).alias("n")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import instant, lit_ts, time_distance
-from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER
+from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER, REQUIRED
 from ..plans.guards import bounded_broadcast
 from ..session import default_parallelism, scratch_path
 from .predicates import match
@@ -64,15 +64,22 @@ def keyset_condition(cursor: Mapping[str, object] | Sequence, order: Sequence[st
     desc = [k.startswith("-") for k in order]
     vals = [cursor[k] for k in names] if isinstance(cursor, Mapping) else list(cursor)
     lit = [lit_ts(v) if k == "date" else F.lit(v) for k, v in zip(names, vals)]
-    after = lambda i: (F.col(names[i]) < lit[i]) if desc[i] else (F.col(names[i]) > lit[i])
+
+    def beyond(i: int, equal: bool = False) -> Column:
+        """Missing values come last in either direction: after every value, and nothing after them."""
+        if vals[i] is None:
+            return F.col(names[i]).isNull() if equal else F.lit(False)
+        c = F.col(names[i])
+        own = ((c <= lit[i]) if equal else (c < lit[i])) if desc[i] else ((c >= lit[i]) if equal else (c > lit[i]))
+        return own if names[i] in REQUIRED else own | c.isNull()
+
     disj = None
     for i in range(len(names)):
-        term = after(i)
+        term = beyond(i)
         for j in range(i):
-            term = (F.col(names[j]) == lit[j]) & term
+            term = (F.col(names[j]).isNull() if vals[j] is None else F.col(names[j]) == lit[j]) & term
         disj = term if disj is None else (disj | term)
-    bound = (F.col(names[0]) <= lit[0]) if desc[0] else (F.col(names[0]) >= lit[0])
-    return bound & disj
+    return beyond(0, equal=True) & disj
 
 
 def page_after(df: DataFrame, cursor, limit: int, order: Sequence[str] = DEFAULT_ORDER,
@@ -86,17 +93,6 @@ def page_after(df: DataFrame, cursor, limit: int, order: Sequence[str] = DEFAULT
     return out.select(*columns) if columns else out
 
 
-def _ntile_of(idx: Column, total: int, n: int) -> Column:
-    """1-based ``ntile(n)`` bucket of a 0-based row index among ``total`` rows (first ``total % n`` buckets
-    hold one extra row)."""
-    q, r = divmod(total, n)
-    big = r * (q + 1)
-    if q == 0:
-        return idx + 1
-    return (F.when(idx < big, F.floor(idx / (q + 1)))
-            .otherwise(F.lit(r) + F.floor((idx - big) / q)) + 1).cast("int")
-
-
 def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, partitions: int | None = None,
                exact: bool = True, **conditions) -> DataFrame:
     """Boundaries of ``n`` chunks of the ordered matches: ``chunk, n, first_*, last_*``.
@@ -104,24 +100,26 @@ def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, part
     ``exact=True``: equal chunks with ``ntile`` semantics, computed in parallel. The rows are
     range-partitioned and sorted by ``order``, their positions written once to the shared folder; a
     per-partition row count (one small row per partition reaches the driver) gives each partition's
-    global offset; each row's global position picks its chunk; one aggregation yields the boundaries.
+    global offset and so the places of all boundary rows, which one join with that small list picks out.
     No single-partition window.
 
     ``exact=False``: one pass, nothing written: the range partitioner's own ``n`` ranges (sampled, so
     near-equal), each published with its count and first/last key. Chunks are disjoint, ordered and
     cover every row, which is what parallel export needs.
     """
-    rows = match(df, **conditions).select(*order)
+    rows = match(df, **conditions).select(*[k.lstrip("-") for k in order])
+    ascending, order = _asc(order), [k.lstrip("-") for k in order]
     spark = rows.sparkSession
     if not exact:
         key = F.struct(*order)
-        agg = (rows.repartitionByRange(n, *_asc(order)).select(F.spark_partition_id().alias("_p"), key.alias("_k"))
-               .groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
+        agg = (rows.repartitionByRange(n, *ascending).sortWithinPartitions(*ascending)
+               .select(F.spark_partition_id().alias("_p"), key.alias("_k"), F.monotonically_increasing_id().alias("_i"))
+               .groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min_by("_k", "_i").alias("_lo"), F.max_by("_k", "_i").alias("_hi")))
         return agg.select((F.dense_rank().over(Window.orderBy("_p"))).cast("int").alias("chunk"), "n",
                           *[F.col(f"_lo.{k}").alias(f"first_{k}") for k in order],
                           *[F.col(f"_hi.{k}").alias(f"last_{k}") for k in order])
     parts = partitions or max(n, default_parallelism(spark))
-    ranked = (rows.repartitionByRange(parts, *_asc(order)).sortWithinPartitions(*_asc(order))
+    ranked = (rows.repartitionByRange(parts, *ascending).sortWithinPartitions(*ascending)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # documented layout of monotonically_increasing_id: partition id in the upper 31 bits
     ranked = ranked.select(*order, F.shiftright("_mid", 33).alias("_pid"),
@@ -141,11 +139,23 @@ def chunk_plan(df: DataFrame, n: int, order: Sequence[str] = DEFAULT_ORDER, part
             [], "chunk int, n bigint, " + ", ".join(f"first_{k} {rows.schema[k].dataType.simpleString()}, "
                                                       f"last_{k} {rows.schema[k].dataType.simpleString()}"
                                                       for k in order))
-    off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))])
-    idx = off_map[F.col("_pid")] + F.col("_pos")
+    # a chunk's first and last positions are known from the counts: only those rows are looked up
+    bounds, at = [], 0
+    for c in range(min(n, total)):
+        size = total // n + (c < total % n)
+        bounds.append((c + 1, size, at, at + size - 1))
+        at += size
+    starts = sorted(offsets.items(), key=lambda x: x[1])
+    ends = []
+    for c, size, lo, hi in bounds:
+        for which, pos in (("lo", lo), ("hi", hi)):
+            pid, base = [s for s in starts if s[1] <= pos][-1]
+            ends.append((c, size, which, pid, pos - base))
+    wanted = spark.createDataFrame(ends, "chunk int, n bigint, _which string, _pid bigint, _pos bigint")
+    found = ranked.join(F.broadcast(wanted), ["_pid", "_pos"])  # two rows per chunk
     key = F.struct(*order)
-    agg = (ranked.select(_ntile_of(idx, total, n).alias("chunk"), key.alias("_k"))
-           .groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
+    agg = found.groupBy("chunk", "n").agg(F.first(F.when(F.col("_which") == "lo", key), ignorenulls=True).alias("_lo"),
+                                          F.first(F.when(F.col("_which") == "hi", key), ignorenulls=True).alias("_hi"))
     return agg.select("chunk", "n", *[F.col(f"_lo.{k}").alias(f"first_{k}") for k in order],
                       *[F.col(f"_hi.{k}").alias(f"last_{k}") for k in order])
 
@@ -202,11 +212,22 @@ def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distanc
     Output: request columns, the ``payload`` columns of the chosen capture, ``distance_ms``.
     """
     payload = list(dict.fromkeys(["date", "id", *payload]))
+    given = requests
     if decode_url:
         requests = requests.withColumn("url", F.coalesce(F.try_url_decode("url"), F.col("url")))
     out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched, max_group_rows)
+    found = [*payload, "distance_ms"]
     if max_distance_ms is not None:
-        out = out.where(F.col("distance_ms") <= F.lit(int(max_distance_ms)))
+        near = F.col("distance_ms") <= F.lit(int(max_distance_ms))
+        if keep_unmatched:
+            out = out.select(*given.columns, *[F.when(near, F.col(c)).alias(c) for c in found])
+        else:
+            out = out.where(near)
+    if keep_unmatched:
+        # requests without a URL or an instant match nothing, but they are requests
+        none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in found]
+        lost = requests.where(F.col("url").isNull() | F.col(t_col).isNull())
+        out = out.unionByName(lost.select(*given.columns, *none))
     return out
 
 

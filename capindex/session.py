@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,14 +48,18 @@ def _context(spark: SparkSession):
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir`` or the context's checkpoint dir).
 
-    Only when neither is set (tests, a laptop) a private folder is created and registered, so later
-    ``checkpoint()`` calls and written tables land in the same place.
+    Only when neither is set and the master is local (tests, a laptop) a private folder is created and registered, so
+    later ``checkpoint()`` calls and written tables land in the same place. On a cluster that would be a folder that
+    the executors don't see, so it is an error.
     """
     sc = _context(spark)
     d = sc.getCheckpointDir() if sc is not None else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[.*)?$", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="capindex-")
         if sc is not None:
             sc.setCheckpointDir(d)

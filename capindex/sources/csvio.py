@@ -32,21 +32,20 @@ def to_escaped_lines(df: DataFrame, columns=CAPTURE_COLUMNS) -> DataFrame:
 
 def write_escaped_csv(df: DataFrame, path: str, header: bool = True, columns=CAPTURE_COLUMNS,
                       mode: str = "errorifexists") -> None:
-    """Distributed write, one part file per partition, no shuffle. ``header`` adds the column line as one
-    extra one-line part file of the same dataset (the reader skips header lines wherever they are)."""
+    """Distributed write in one job, one part file per partition, no shuffle. ``header`` puts the column line first in
+    every file."""
     lines = to_escaped_lines(df, columns)
-    lines.write.mode(mode).option("lineSep", "\n").text(path)
     if header:
-        spark = df.sparkSession
-        (spark.createDataFrame([(",".join(columns),)], "value string").coalesce(1)
-         .write.mode("append").option("lineSep", "\n").text(path))
+        # documented layout of monotonically_increasing_id: the row's number in its partition in the lower 33 bits
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(",".join(columns) + "\n"), "value")).otherwise(F.col("value")).alias("value"))
+    lines.write.mode(mode).option("lineSep", "\n").text(path)
 
 
 def from_escaped_lines(lines: DataFrame, columns=CAPTURE_COLUMNS, schema=CAPTURE_SCHEMA) -> DataFrame:
-    """Lines back to typed columns. Header lines are skipped; empty cells become null."""
+    """Data lines back to typed columns; empty cells become null."""
     ensure_utc(lines.sparkSession)
-    hdr = ",".join(columns)
-    cells = lines.where(F.col("value") != F.lit(hdr)).select(fx.split_escaped_line("value").alias("_c"))
+    cells = lines.select(fx.split_escaped_line("value").alias("_c"))
     out = []
     for i, name in enumerate(columns):
         raw = F.get(F.col("_c"), i)
@@ -60,5 +59,13 @@ def from_escaped_lines(lines: DataFrame, columns=CAPTURE_COLUMNS, schema=CAPTURE
     return cells.select(*out)
 
 
-def read_escaped_csv(spark: SparkSession, path: str, columns=CAPTURE_COLUMNS) -> DataFrame:
-    return from_escaped_lines(spark.read.option("lineSep", "\n").text(path), columns)
+def read_escaped_csv(spark: SparkSession, path: str, columns=CAPTURE_COLUMNS, header: bool = True) -> DataFrame:
+    """``header``: the first line of every file is the column line; an equal line further down is data."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if header:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                             F.monotonically_increasing_id().alias("_i"))
+        first = lines.where(F.col("_b") == 0).groupBy("_f").agg(F.min("_i").alias("_i"), F.lit(True).alias("_first"))
+        lines = lines.join(first, ["_f", "_i"], "left").where(
+            ~(F.coalesce("_first", F.lit(False)) & (F.col("value") == F.lit(",".join(columns))))).select("value")
+    return from_escaped_lines(lines, columns)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from capindex.schema import CDX_HEADER
 from capindex.functions import date_math, surt
 from capindex.functions.time import partial_range
 from capindex.operators import facets, lookup
@@ -87,7 +88,7 @@ def test_keyset_pages_cover_everything_once(spark):
         seen += [(r.url, r.date, r.id) for r in page]
         last = page[-1]
         cursor = {"url": last.url, "date": last.date.replace(tzinfo=UTC), "id": last.id}
-    assert seen == sorted((u, d.replace(tzinfo=None), i) for u, d, i, _ in rows) or len(seen) == len(set(seen))
+    assert seen == [tuple(r) for r in df.select("url", "date", "id").orderBy("url", "date", "id").collect()]
     assert len(seen) == len(set(seen)) == len({(u, d, i) for u, d, i, _ in rows})
 
 
@@ -142,9 +143,11 @@ def test_upsert_semantics(spark):
 def test_commit_upsert_is_idempotent(spark, tmp_path):
     root = str(tmp_path / "store")
     b = spark.createDataFrame([("k", 1, "u", T0)], "id string, v int, url string, date timestamp")
-    assert store.commit_upsert(spark, root, b, 1) is True
-    assert store.commit_upsert(spark, root, b, 1) is False
+    assert store.commit_upsert(spark, root, b, source="q/0") is True
+    assert store.commit_upsert(spark, root, b, source="q/0") is False
     assert store.versions(spark, root) == [1]
+    with pytest.raises(ValueError, match="taken"):
+        store.commit_upsert(spark, root, b, 1)
     assert store.read_store(spark, root).count() == 1
 
 
@@ -314,3 +317,120 @@ def test_scale_plan_shapes(spark, tmp_path):
     batch = caps.limit(5)
     plan = physical_plan(store.upsert(caps, batch), "simple")
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_versions_are_claimed_and_foreign_commits_fail(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    schema = "id string, url string, date timestamp"
+    row = lambda k: spark.createDataFrame([(k, "u", T0)], schema)
+    first = store.claim_version(spark, root)
+    assert store.commit_upsert(spark, root, row("a")) and store.versions(spark, root) == [first + 1]
+    assert store.commit_upsert(spark, root, row("b"), source="q/0") and not store.commit_upsert(spark, root, row("x"), source="q/0")
+    write = store._write_parts
+
+    def meanwhile(df, path, partitions, mode="overwrite"):
+        monkeypatch.setattr(store, "_write_parts", write)
+        assert store.commit_upsert(spark, root, row("other"))
+        write(df, path, partitions, mode)
+
+    monkeypatch.setattr(store, "_write_parts", meanwhile)
+    with pytest.raises(store.StoreChanged):
+        store.commit_upsert(spark, root, row("c"))
+    assert sorted(r.id for r in store.read_store(spark, root).collect()) == ["a", "b", "other"]
+
+
+def test_optional_columns_survive_later_batches_and_compaction(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.commit_upsert(spark, root, spark.createDataFrame([("a", "u", T0, "1.2.3.4")], "id string, url string, date timestamp, ip string"))
+    store.commit_upsert(spark, root, spark.createDataFrame([("b", "u", T0, 7)], "id string, url string, date timestamp, arclength bigint"))
+    want = [("a", "1.2.3.4", None), ("b", None, 7)]
+    assert sorted((r.id, r.ip, r.arclength) for r in store.read_store(spark, root).collect()) == want
+    assert store.compact(spark, root)
+    assert sorted((r.id, r.ip, r.arclength) for r in store.read_store(spark, root).collect()) == want
+
+
+def test_months_and_calendars_are_utc_whatever_the_session(spark, tmp_path):
+    when = dt.datetime(2024, 2, 1, 3, tzinfo=UTC)
+    df = spark.createDataFrame([("a", "u", when)], "id string, url string, date timestamp")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        store.commit_upsert(spark, str(tmp_path / "s"), df)
+        assert store.read_store(spark, str(tmp_path / "s"), start="2024-02-01T00:00:00Z").count() == 1
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert [r.period for r in facets.capture_calendar(df, "month").collect()] == ["2024-02"]
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert [r.year for r in facets.facet(df.withColumn("date", F.lit("2024-01-01T01:00:00Z").cast("timestamp")), "year").collect()] == [2024]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_keyset_returns_missing_values_last(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y"), ("d", None)], "id string, mime string")
+    for order in (("mime", "id"), ("-mime", "id")):
+        want = [r.id for r in lookup.search(df, columns=("id",), order=order, limit=None).collect()]
+        seen, cursor = [], None
+        while page := lookup.page_after(df, cursor, 1, order=order).collect():
+            seen.append(page[-1].id)
+            cursor = {"mime": page[-1].mime, "id": page[-1].id}
+        assert seen == want and len(seen) == 4
+
+
+def test_closest_keeps_unmatched_requests(spark):
+    caps = caps_df(spark, [("a", T0, "x", None)])
+    far = T0 + dt.timedelta(days=9)
+    reqs = spark.createDataFrame([(1, "a", T0), (2, "a", far), (3, "zz", T0), (4, None, T0), (5, "a", None)], "rid int, url string, t timestamp")
+    got = {r.rid: r.id for r in lookup.closest(reqs, caps, keep_unmatched=True, max_distance_ms=1000).collect()}
+    assert got == {1: "x", 2: None, 3: None, 4: None, 5: None}
+    assert {r.rid for r in lookup.closest(reqs, caps, max_distance_ms=1000).collect()} == {1}
+
+
+def test_chunk_plan_descending(spark):
+    df = caps_df(spark, random_captures(57, ["a", "b", "c"], seed=4))
+    ids = [r.id for r in lookup.search(df, columns=("id",), order=("-date", "id"), limit=None).collect()]
+    for exact in (True, False):
+        plan = sorted(lookup.chunk_plan(df, 5, order=("-date", "id"), exact=exact).collect(), key=lambda r: r.chunk)
+        assert sum(r.n for r in plan) == 57 and plan[0].first_id == ids[0] and plan[-1].last_id == ids[-1]
+        at = 0
+        for r in plan:
+            assert (r.first_id, r.last_id) == (ids[at], ids[at + r.n - 1])
+            at += r.n
+
+
+def test_csv_header_is_line_one_and_equal_rows_are_data(spark, tmp_path):
+    cols = ("id", "url")
+    rows = [("id", "url"), ("a\\,b", '"q" #x'), (" lead", "trail "), (None, "z"), ("#c", "'"), ("\\", ",")]
+    path = str(tmp_path / "out")
+    csvio.write_escaped_csv(spark.createDataFrame(rows, "id string, url string").repartition(3), path, columns=cols)
+    assert sorted(map(str, (tuple(r) for r in csvio.read_escaped_csv(spark, path, cols).collect()))) == sorted(map(str, rows))
+    for part in (tmp_path / "out").glob("part-*"):
+        assert part.read_text().split("\n")[0] == "id,url"
+
+
+def test_missing_sources_odd_names_and_old_digests(spark, tmp_path):
+    from capindex.operators.api import cdx_search, convert_files
+    from capindex.sources.cdx import accepted, parse_cdx
+    from capindex.sources.ingest import ingest_files
+    line = "org,q)/ 20200102030405 http://q.org/?a=b+c text/html 200 DIG - - 10 5 q.warc.gz"
+    for name in ("a b.cdx", "c[1].cdx"):
+        (tmp_path / name).write_text(CDX_HEADER + "\n" + line.replace("DIG", name[0].upper()) + "\n")
+    with pytest.warns(UserWarning, match="nothere"):
+        ingest_files(spark, [str(tmp_path / "a b.cdx"), str(tmp_path / "nothere.cdx"), str(tmp_path / "c*.cdx")], str(tmp_path / "root"))
+    s = store.read_store(spark, str(tmp_path / "root" / "store"))
+    assert sorted(r.newdigest for r in s.collect()) == ["A", "C"]
+    assert cdx_search(s, "http%3A%2F%2Fq.org%2F%3Fa%3Db%2Bc").count() == 2
+    done = convert_files(spark, [str(tmp_path / "nothere.cdx"), str(tmp_path / "a b.cdx"), str(tmp_path / "a b.cdx")])
+    assert [d[2] for d in done] == ["missing", "converted", "exists"]
+    old = parse_cdx(spark.createDataFrame([(line.replace(" 200 DIG", " 200 OLD"),)], "value string"), CDX_HEADER.replace(" k ", " c "))
+    assert [r.newdigest for r in accepted(old).collect()] == ["OLD"]
+    bad = parse_cdx(spark.createDataFrame([(line.replace("030405", "030460"),)], "value string"), CDX_HEADER)
+    assert [r.reject_reason for r in bad.collect()] == ["bad_timestamp"]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from capindex import session
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+                              conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
