@@ -30,7 +30,7 @@ from capindex.llm.common import broadcast_if_small, stage
 LENGTH = 4096
 END_ID = 2
 DIMS, ORDER, BUCKETS = 3, 10, 1024
-_WORDS, _STEMS, _LONGEST = 300_000, 500_000, 64
+_WORDS, _STEMS, _LONGEST = 700_000, 900_000, 64
 
 
 class WordTokens:
@@ -53,27 +53,53 @@ class WordTokens:
         found = self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _encode_letters(self, stems: list[bytes]) -> list[bytes]:
+        """Runs of letters are one word each to the tokenizer, so that many are encoded as one text and told apart by the
+        number of the word; where a letter's lower case is no letter, that fails and they are encoded one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            word = np.array(found.word_ids, dtype=np.int64)
+            if not len(word) or word[-1] != len(part) - 1 or len(np.unique(word)) != len(part):
+                out += self._encode(part)
+                continue
+            raw, size = np.array(found.ids, dtype=self.dtype).tobytes(), self.dtype.itemsize
+            ends = (np.searchsorted(word, np.arange(len(part)), side="right") * size).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     @staticmethod
-    def _stem(word: bytes) -> tuple[bytes, bytes]:
+    def _split(word: bytes) -> tuple[bytes, bytes, bool]:
+        """Stem, mark after it, and whether the stem is a run of letters."""
         if word.isalpha():
-            return word.lower(), b""
-        if word[-1:] in (b".", b",", b";", b":", b"!", b"?") and word[:-1].isalpha():
-            return word[:-1].lower(), word[-1:]
-        return word, b""
+            return word, b"", True
+        mark = word[-1:] if word[-1] in b".,;:!?" else b""
+        stem = word[:-1] if mark else word
+        if stem.isalpha():
+            return stem, mark, True
+        if not stem.isascii() and stem.decode().isalpha():
+            return stem, mark, True
+        return word, b"", False
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        split = [_lowered((t or "").encode()).split() for t in texts]
         if len(self.words) > _WORDS:
             self.words = {}
         if len(self.stems) > _STEMS:
             self.stems = {}
         known, stems = self.words, self.stems
-        new = {w for ws in split for w in ws if w not in known}
-        parts = {w: self._stem(w) for w in new}
-        miss = list({p for two in parts.values() for p in two if p and p not in stems})
-        stems.update(zip(miss, self._encode(miss), strict=True))
+        new = set()
+        for ws in split:
+            new.update(ws)
+        new.difference_update(known)
+        parts = {w: self._split(w) for w in new}
+        letters = list({a for a, _, run in parts.values() if run and a not in stems})
+        stems.update(zip(letters, self._encode_letters(letters), strict=True))
+        others = list({p for a, b, run in parts.values() for p in ((b,) if run else (a,)) if p and p not in stems})
+        stems.update(zip(others, self._encode(others), strict=True))
         stems[b""] = b""
-        known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
+        known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b, _) in parts.items())
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         for w in [w for w in new if len(w) > _LONGEST]:
             del known[w]
@@ -81,6 +107,23 @@ class WordTokens:
         return out
 
 
+def _lowered(text: bytes) -> bytes:
+    """The tokenizer lower-cases; doing so for ASCII first makes fewer words. Not where it could spell a special token."""
+    return text if b"<|" in text else text.lower()
+
+
+_LOADED: dict[int, WordTokens] = {}
+
+
+def _tokens_of(vocabulary: str) -> WordTokens:
+    """The worker's cache, kept from one task to the next."""
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = WordTokens(vocabulary)
+    return _LOADED[key]
+
+
 def hilbert(points: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Places on the Hilbert curve of integer points (rows of ``[0, 2**order)`` in any dimension), by Gray-code rotations
     from the highest bit down."""
@@ -114,29 +157,29 @@ def _projection() -> np.ndarray:
     return np.random.RandomState(9).standard_normal((BUCKETS, DIMS))
 
 
-def curve_place(ids: np.ndarray, projection: np.ndarray) -> int:
-    """Place of one document: hashed counts (logarithms, unit length), projected and cut to ``ORDER`` bits per dimension."""
-    hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 10)
-    v = np.log1p(np.bincount(hashed.astype(np.int64), minlength=BUCKETS))
-    at = (v @ projection) / max(1e-9, float(np.sqrt(v @ v)))
-    cells = np.clip((at / 6 + 0.5) * (1 << ORDER), 0, (1 << ORDER) - 1).astype(np.int64)
-    return int(hilbert(cells[None, :])[0])
+def curve_places(ids: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
+    """Places of documents: hashed counts (logarithms, unit length), projected and cut to ``ORDER`` bits per dimension."""
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    hashed = (np.concatenate(ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 10)
+    v = np.log1p(np.bincount(row * BUCKETS + hashed.astype(np.int64), minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS))
+    at = (v @ projection) / np.maximum(1e-9, np.sqrt((v * v).sum(axis=1)))[:, None]
+    return hilbert(np.clip((at / 6 + 0.5) * (1 << ORDER), 0, (1 << ORDER) - 1).astype(np.int64))
 
 
 def _tokenize(vocabulary):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        words, projection = WordTokens(vocabulary.value), _projection()
+        words, projection = _tokens_of(vocabulary.value), _projection()
         end = np.array([END_ID], dtype=words.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
                 ids = [x + end for x in words.ids(b.column("text").to_pylist())]
                 size = words.dtype.itemsize
                 yield pa.RecordBatch.from_arrays([
                     b.column("row"), b.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()),
-                    pa.array([curve_place(np.frombuffer(x, dtype=words.dtype), projection) for x in ids], pa.int64()),
+                    pa.array(curve_places([np.frombuffer(x, dtype=words.dtype) for x in ids], projection)),
                     pa.array(ids, pa.binary())], schema=schema)
 
     return run

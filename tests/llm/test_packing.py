@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from capindex.llm.packing import WordTokens, default_vocabulary, hilbert, pack, packing_report, sequences
 
-ODD = ["<|endoftext|> hi", "a\x1cb\x85c\xa0d é ÀÉ x.y, don't I'll ''s …. 12.5 . , 각 한국 日本。", "\n\t ", None, "x" * 3000,
+ODD = ["<|endoftext|> hi", "<|ENDOFTEXT|> Hi", "É É Z̈ ß ẞ", "a\x1cb\x85c\xa0d é ÀÉ x.y, don't I'll ''s …. 12.5 . , 각 한국 日本。", "\n\t ", None, "x" * 3000,
        "It's. he's, O'Re! Á. ﬁ ǅ İstanbul ΑΣ. ΟΔΟΣ", "a .b ..c?! end?!", "é ́x .́", "word.​next"]
 
 
