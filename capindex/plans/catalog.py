@@ -30,7 +30,7 @@ RANDOM_START, RANDOM_END, RANDOM_SEED = "2024-01-01T00:00:00Z", "2024-01-31T23:5
 ORDER_SEED = "42"
 URL_REGEX = r"com,example,[a-z]+(,[a-z]+)?\)/en/[0-9]+\.html"
 KEYSET_AT = "2024-01-15T00:00:00Z"
-PAGE_OFFSET, PAGE_LIMIT, KEYSET_LIMIT, CHUNKS, SAMPLE = 100, 10, 50, 8, 20
+PAGE_OFFSET, PAGE_LIMIT, KEYSET_LIMIT, CHUNKS = 100, 10, 50, 8
 
 
 def _e(t) -> int:
@@ -334,9 +334,9 @@ def q_random_in_period(spark, sf_dir, caps=None):
 
 
 @register("random_order", W(f"""
-SELECT id, url, md5('{ORDER_SEED}' || id) AS sort_key FROM captures ORDER BY sort_key, id LIMIT {SAMPLE}"""))
+SELECT id, url, md5('{ORDER_SEED}' || id) AS sort_key FROM captures"""))
 def q_random_order(spark, sf_dir, caps=None):
-    out = lookup.random_order(_caps(spark, sf_dir, caps), ORDER_SEED, SAMPLE)
+    out = lookup.random_order(_caps(spark, sf_dir, caps), ORDER_SEED)
     return out.select("id", "url", "sort_key")
 
 
@@ -464,14 +464,13 @@ def q_prefix_calendar(spark, sf_dir, caps=None):
 
 
 @register("export_json", W(f"""
-SELECT id, url, ts14, mime, response FROM captures WHERE sdomain = {TGT_SDOMAIN}"""))
+SELECT id, url, ts14, mime, response FROM captures"""))
 def q_export_json(spark, sf_dir, caps=None):
-    """Bulk export of a domain's captures as JSON (distributed write), read back."""
+    """Bulk export of all captures as JSON (distributed write), read back."""
     from ..schema import CAPTURE_SCHEMA
     from ..session import scratch_path
-    caps, t = caps_and_target(spark, sf_dir, caps)
     path = scratch_path(spark, "export-json")
-    lookup.export(caps, path, format="json", columns=("id", "url", "date", "mime", "response"), domain=t.sdomain)
+    lookup.export(_caps(spark, sf_dir, caps), path, format="json", columns=("id", "url", "date", "mime", "response"))
     back = spark.read.schema(CAPTURE_SCHEMA).json(path)
     return back.select("id", "url", ts14("date").alias("ts14"), "mime", "response")
 
