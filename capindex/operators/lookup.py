@@ -191,6 +191,7 @@ def random_order(df: DataFrame, seed: int | str, n: int | None = None, **conditi
 
 
 MAX_GROUP_ROWS = 2_000_000     # captures of one (url, bucket) handled by one task before it is split
+MAX_ASKED_BROADCAST = 50_000   # requested URLs listed to every task below this (counted) number: a few MB
 MAX_HOT_BROADCAST = 1_000_000  # split buckets listed to every task below this (counted) number
 
 
@@ -241,6 +242,11 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     # a null URL or instant matches nothing (window partitions would group nulls together)
     df = df.where(F.col("url").isNotNull() & F.col("date").isNotNull())
     requests = requests.where(F.col("url").isNotNull() & F.col(t_col).isNotNull())
+    # Few requested URLs: captures of others are dropped at the scan. With many, nearly all captures are asked for and
+    # the semi join would be one more shuffle of them.
+    asked = requests.select("url").distinct()
+    if asked.limit(MAX_ASKED_BROADCAST + 1).count() <= MAX_ASKED_BROADCAST:
+        df = df.join(F.broadcast(asked), "url", "left_semi")
     caps = df.select("url", F.floor(F.unix_millis("date") / F.lit(b_ms)).alias("_b"),
                      F.unix_millis("date").alias("_ms"), F.col("id").alias("_id"), cap_struct.alias("_cap"))
     cap_type = caps.schema["_cap"].dataType

@@ -434,3 +434,12 @@ def test_shared_folder_is_asked_for_on_a_cluster():
                               conf=SimpleNamespace(get=lambda k, d=None: d))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(cluster)
+
+
+def test_closest_reads_only_the_requested_urls(spark):
+    caps = caps_df(spark, random_captures(80, ["a", "b", "c"], seed=6))
+    reqs = spark.createDataFrame([(1, "b", T0)], "rid int, url string, t timestamp")
+    out = lookup.closest(reqs, caps)
+    assert "LeftSemi" in physical_plan(out)
+    want = lookup.closest_capture(caps, "b", T0).first()
+    assert [(r.id, r.distance_ms) for r in out.collect()] == [(want.id, want.distance_ms)]
