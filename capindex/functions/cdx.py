@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import NULL_TOKENS, RESPONSE_PLACEHOLDER_VALUE, RESPONSE_PLACEHOLDERS
+from ..schema import DOMAIN_END, NULL_TOKENS, RESPONSE_PLACEHOLDER_VALUE, RESPONSE_PLACEHOLDERS
 
 _INT_TEXT = r"^[+-]?[0-9]+$"
 
@@ -63,7 +63,7 @@ def capture_id(digest: Column | str, timestamp: Column | str) -> Column:
 
 def split_url(url: Column | str) -> Column:
     """``[domain, path]`` split at the first ``)/`` or ``/``; no match keeps the whole value as domain."""
-    return F.split(_c(url), r"\)?/", 2)
+    return F.split(_c(url), DOMAIN_END, 2)
 
 
 def sdomain_of(url: Column | str) -> Column:

@@ -24,25 +24,27 @@ RESPONSE_PLACEHOLDERS = ("-", "TBD")
 RESPONSE_PLACEHOLDER_VALUE = -1
 # CDX field letters and the capture column each one fills (None: read but not stored):
 CDX_LETTERS = {
-    "N": "url",        # canonical (massaged) URL
-    "A": "url",        # canonized URL (SURT & normalised), used when a layout has no N
-    "b": "date",       # 14-digit timestamp
-    "a": "ourl",       # original URL
-    "m": "mime",       # mime type
-    "s": "response",   # response code
-    "k": "newdigest",  # new-style checksum
-    "r": "redirect",   # redirect
-    "M": "meta",       # meta tags (AIF), one value per flag letter
-    "S": None,         # compressed record size
-    "V": "offset",     # compressed arc file offset
-    "g": "arc",        # file name
-    "e": "ip",         # IP
-    "c": "digest",     # old-style checksum
-    "v": "uoffset",    # uncompressed arc file offset
-    "D": "doffset",    # compressed dat file offset
-    "d": "udoffset",   # uncompressed dat file offset
-    "n": "arclength",  # arc document length
+    "N": "url",        # URL in canonical form
+    "A": "url",        # the same, where a layout has no N
+    "b": "date",       # capture time
+    "a": "ourl",       # URL as requested
+    "m": "mime",       # content type
+    "s": "response",   # HTTP status
+    "k": "newdigest",  # content hash
+    "r": "redirect",   # target of a redirect
+    "M": "meta",       # robot flags, one letter each
+    "S": None,         # record length, compressed
+    "V": "offset",     # place in the compressed archive file
+    "g": "arc",        # archive file
+    "e": "ip",         # server address
+    "c": "digest",     # content hash of the old kind
+    "v": "uoffset",    # place in the uncompressed archive file
+    "D": "doffset",    # place in the compressed data file
+    "d": "udoffset",   # place in the uncompressed data file
+    "n": "arclength",  # length of the archived document
 }
+# What ends the domain part of a canonical URL:
+DOMAIN_END = r"\)?/"
 # Timestamp text format in the export (UTC, mandatory Z):
 EXPORT_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 # Default search column list and row limit:

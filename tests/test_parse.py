@@ -9,7 +9,7 @@ import pytest
 from capindex.schema import CDX_HEADER
 from capindex.sources import cdx
 
-BASE = ["com,ex)/p", "20110225190307", "http://ex.com/p", "text/html", "200", "DIG", "-", "-", "1", "5",
+BASE = ["com,ex)/p", "20190614083142", "http://ex.com/p", "text/html", "200", "DIG", "-", "-", "1", "5",
         "a.warc.gz"]
 
 
@@ -34,9 +34,9 @@ def one(spark, text):
 def test_base_line(spark):
     r = one(spark, line())
     assert r["reject_reason"] is None
-    assert r["id"] == "DIG20110225190307"
+    assert r["id"] == "DIG20190614083142"
     assert r["url"] == "com,ex)/p" and r["sdomain"] == "com,ex" and r["path"] == "p"
-    assert r["date"] == dt.datetime(2011, 2, 25, 19, 3, 7)
+    assert r["date"] == dt.datetime(2019, 6, 14, 8, 31, 42)
     assert r["redirect"] is None and r["response"] == 200 and r["offset"] == 5
 
 
@@ -71,20 +71,20 @@ def test_domain_path_split(spark, url, dom, path):
     assert (r["sdomain"], r["path"]) == (dom, path)
 
 
-@pytest.mark.parametrize("ts", ["2011", "20111399999999", "2011022519030x"])
+@pytest.mark.parametrize("ts", ["2019", "20191399999999", "2019061408314x"])
 def test_bad_timestamp(spark, ts):
     assert one(spark, line(t1=ts))["reject_reason"] == "bad_timestamp"
 
 
 def test_long_timestamp(spark):
-    r = one(spark, line(t1="20110225190307123"))
-    assert r["date"] == dt.datetime(2011, 2, 25, 19, 3, 7)
-    assert r["id"] == "DIG20110225190307123"
+    r = one(spark, line(t1="20190614083142123"))
+    assert r["date"] == dt.datetime(2019, 6, 14, 8, 31, 42)
+    assert r["id"] == "DIG20190614083142123"
 
 
 def test_missing_digest_id(spark):
     r = one(spark, line(t5="-"))
-    assert r["id"] == "-20110225190307" and r["newdigest"] is None
+    assert r["id"] == "-20190614083142" and r["newdigest"] is None
 
 
 def test_missing_url(spark):
@@ -110,7 +110,7 @@ def test_files_headers_gzip_line_ends(spark, tmp_path):
 
 def test_layout_variant(spark):
     layout = " CDX N b a m s k r V g"
-    df = spark.createDataFrame([("com,ex)/p 20110225190307 http://ex.com/p text/html 200 DIG - 7 a.warc.gz",)],
+    df = spark.createDataFrame([("com,ex)/p 20190614083142 http://ex.com/p text/html 200 DIG - 7 a.warc.gz",)],
                                "value string")
     r = cdx.parse_cdx(df, layout).collect()[0]
     assert r.reject_reason is None and r.offset == 7 and r.arc == "a.warc.gz"
@@ -127,10 +127,10 @@ def test_ingest_report_and_new_files(spark):
 
 def test_wide_layout_optional_fields(spark):
     layout = " CDX A b e a m s c k r V v D d g M n"
-    text = "com,ex)/p 20110225190307 1.2.3.4 http://ex.com/p text/html 200 OLD NEW - 5 50 - 7 f.arc AI 123"
+    text = "com,ex)/p 20190614083142 10.20.30.40 http://ex.com/p text/html 200 OLD NEW - 5 50 - 7 f.arc AI 123"
     r = cdx.parse_cdx(spark.createDataFrame([(text,)], "value string"), layout).collect()[0]
     assert r.reject_reason is None and r.url == "com,ex)/p" and r.sdomain == "com,ex"
-    assert (r.ip, r.digest, r.newdigest, r.offset, r.uoffset, r.doffset, r.udoffset) == ("1.2.3.4", "OLD", "NEW", 5, 50, None, 7)
+    assert (r.ip, r.digest, r.newdigest, r.offset, r.uoffset, r.doffset, r.udoffset) == ("10.20.30.40", "OLD", "NEW", 5, 50, None, 7)
     assert r.meta == ["A", "I"] and r.arclength == 123 and r.arc == "f.arc"
 
 
@@ -138,11 +138,11 @@ def test_auto_layout_mixed_files(spark, tmp_path):
     (tmp_path / "std.cdx").write_text(CDX_HEADER + "\n" + line() + "\n")
     wide = " CDX A b e a m s c k r V v D d g M n"
     (tmp_path / "wide.cdx").write_text(
-        wide + "\ncom,ex)/q 20110225190308 1.2.3.4 http://ex.com/q text/html 404 OLD NEW2 - 6 60 - - g.arc - 9\n")
+        wide + "\ncom,ex)/q 20190614083143 10.20.30.40 http://ex.com/q text/html 404 OLD NEW2 - 6 60 - - g.arc - 9\n")
     (tmp_path / "noheader.cdx").write_text(line() + "\n")
     parsed = cdx.read_cdx(spark, str(tmp_path), layout="auto")
     rows = sorted((r.url, r.offset, r.response, r.ip, r.uoffset) for r in cdx.accepted(parsed).collect())
-    assert rows == [("com,ex)/p", 5, 200, None, None), ("com,ex)/q", 6, 404, "1.2.3.4", 60)]
+    assert rows == [("com,ex)/p", 5, 200, None, None), ("com,ex)/q", 6, 404, "10.20.30.40", 60)]
     assert cdx.rejected(parsed).count() == 0
-    short = spark.createDataFrame([("com,ex)/p 20110225190307 x", CDX_HEADER)], "value string, lay string")
+    short = spark.createDataFrame([("com,ex)/p 20190614083142 x", CDX_HEADER)], "value string, lay string")
     assert cdx.parse_cdx(short, layout_col="lay").first().reject_reason == "column_count"
