@@ -14,7 +14,8 @@ least ``NUMER / DENOM``.
    first components, so that large groups of near copies need not be paired out.
 5. *Tiles again, exactly.* In tiles that still hold two components, members of different components are compared:
    the places of the common gram and the sizes bound the overlap from above, then bit counts of the signatures do. What
-   is left is verified. Tiles over ``BLOCK`` members are cut into blocks, and pairs of blocks are spread over tasks.
+   is left is verified. Tiles over ``BLOCK`` members are cut into blocks, and pairs of blocks are spread over tasks; in tiles
+   over ``CROWD`` members signatures are wider, so that fewer pairs pass by chance.
 6. *Verification* intersects the sorted gram arrays of the two classes.
 
 A pair is left out only when a bound rules it out or both classes are connected already, so components are exact. Pairs
@@ -45,8 +46,10 @@ FREQUENT = 16
 #: Bits of the map of frequent grams: a bound of 512 KB, whatever the corpus.
 MAP_BITS = 22
 BLOCK = 4096
+#: In tiles of more members, where pairs are many, signatures have this many bits per gram.
+CROWD, WIDE = 64, 16
 BAND = float(np.log(1.25))
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -92,9 +95,10 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / BAND + 1e-9).astype(np.int64)
 
 
-def signature(g: np.ndarray) -> bytes:
-    """Bitmap of 64 bits or the power of two from 2 to 4 times the size; sizes within 1.25 differ by one doubling at most."""
-    bits = max(64, 1 << int(2 * len(g) - 1).bit_length())
+def signature(g: np.ndarray, per_gram: int = 2) -> bytes:
+    """Bitmap of 64 bits or the power of two from ``per_gram`` to twice as many times the size; sizes within 1.25 differ by one
+    doubling at most."""
+    bits = max(64, 1 << int(per_gram * len(g) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(g & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out).tobytes()
@@ -187,6 +191,23 @@ def _arrays(batches):
     yield from _chunks(rows(), schema, 500)
 
 
+def _wide(batches):
+    """Signatures of ``WIDE`` bits per gram or more, once per class and task."""
+    words, seen = _Words(), set()
+    schema = pa.schema([("c", pa.int64()), ("sig", pa.binary())])
+
+    def rows():
+        for (text,) in _texts(batches):
+            g = gram_set(text, words)
+            c = _class_of(g)
+            if c not in seen:
+                if len(seen) < _CACHE_WORDS:
+                    seen.add(c)
+                yield {"c": c, "sig": signature(g, WIDE)}
+
+    yield from _chunks(rows(), schema)
+
+
 def _bits(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype=np.uint64).reshape(len(sigs), -1)
 
@@ -209,7 +230,8 @@ def _bounded(i: np.ndarray, j: np.ndarray, n: np.ndarray, sigs: list[bytes]) ->
         rows[w], at[own] = _bits([sigs[k] for k in own]), np.arange(len(own))
     for wi in rows:
         for wj in rows:
-            for part in np.array_split(np.flatnonzero((width[i] == wi) & (width[j] == wj)), 1 + len(i) // 100_000):
+            both = np.flatnonzero((width[i] == wi) & (width[j] == wj))
+            for part in np.array_split(both, 1 + len(both) * int(max(wi, wj)) // 1_000_000):  # some 8 MB an array
                 if not len(part):
                     continue
                 w = min(wi, wj)
@@ -226,10 +248,10 @@ def _index_pairs(starts: np.ndarray, sizes: np.ndarray):
         at = starts[sizes == m]
         if m <= 64:
             a, b = np.triu_indices(m, 1)
-            for part in np.array_split(at, 1 + len(at) * len(a) // 500_000):
+            for part in np.array_split(at, 1 + len(at) * len(a) // 200_000):
                 yield (part[:, None] + a).ravel(), (part[:, None] + b).ravel()
         else:
-            step = max(1, 500_000 // int(m))
+            step = max(1, 200_000 // int(m))
             for s in at:
                 for k in range(0, int(m), step):
                     a = np.arange(k, min(k + step, int(m)))
@@ -304,12 +326,21 @@ def _verified(batches):
 PAIR = "c bigint, d bigint"
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text or its copies of each class."""
+    keys = stage(classes.join(ids, "c").select("text_hash"), "jaccard-keys")
+    return docs.join(broadcast_if_small(keys, 16), "text_hash", "left_semi").select("text")
+
+
+def _signatures(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    return stage(_texts_of(ids, docs, classes).mapInArrow(_wide, "c bigint, sig binary").dropDuplicates(["c"]), "jaccard-wide")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of classes (c, d) that do link. Grams are made again from one text of each class, so that no table of
     all grams is kept."""
     need = pairs.select("c").union(pairs.select(F.col("d").alias("c"))).distinct()
-    keys = stage(classes.join(need, "c").select("text_hash"), "jaccard-keys")
-    texts = docs.join(broadcast_if_small(keys, 16), "text_hash", "left_semi").select("text")
+    texts = _texts_of(need, docs, classes)
     grams = stage(texts.mapInArrow(_arrays, "c bigint, grams array<bigint>").dropDuplicates(["c"]), "jaccard-grams")
     both = pairs.join(grams, "c").join(grams.select(F.col("c").alias("d"), F.col("grams").alias("others")), "d")
     return stage(both.mapInArrow(_verified, PAIR), "jaccard-links")
@@ -361,12 +392,14 @@ def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text
     size = both.groupBy("gram", "band").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y"),
                                             F.max("own").alias("any")).where("x <> y and any")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    split = both.join(size.select("gram", "band", blocks.alias("blocks")), ["gram", "band"]).withColumn(
+    crowded = (F.col("k") > CROWD).alias("crowded")
+    split = stage(both.join(size.select("gram", "band", blocks.alias("blocks"), crowded), ["gram", "band"]).withColumn(
         "block", F.pmod(F.col("c"), F.col("blocks")).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = split.join(known.select("c", "sig"), "c").select(
-        "gram", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "own", "c", "n", "pos",
-        "label", "sig")
+        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "jaccard-tiles")
+    wide = _signatures(split.where("crowded").select("c").distinct(), docs, classes)
+    sized = split.where("not crowded").join(known.select("c", "sig"), "c").unionByName(split.where("crowded").join(wide, "c"))
+    tiles = sized.select("gram", "band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "own",
+                         "c", "n", "pos", "label", "sig")
     pairs = tiles.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tiles, PAIR).distinct()
     second = _links(stage(pairs, "jaccard-pairs"), docs, classes)
 
