@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
 A line ends at a line break or at the end of a sentence, so that passages inside paragraphs are lines too; long ones
-are cut further at words chosen by their hash. A *run* is the
+are cut further after words of certain last letters. A *run* is the
 shortest sequence of lines from a given one on that has ``MIN_WORDS`` words; short lines that recur by chance make no
 run. Of the documents with a run, the first by id keeps it and every later one is paired with that first one, so a run
 that is shared by many documents costs one pair each. The two documents of a pair are aligned by patience diff; common
@@ -17,7 +17,6 @@ Python. A run or a first document that many share makes a skewed join, which Spa
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from itertools import pairwise
 
@@ -31,14 +30,18 @@ from capindex.llm.common import broadcast_if_small, stage
 
 MIN_WORDS = 25
 LONG = 24
-_WORD = re.compile(r"([^ ]+)( *)")
+_INNER = re.compile(r"((?<=[hlpxHLPX]) +(?=[^ ]))")
 _ENDS = re.compile(r"((?<=[.!?])[ \t]+|\s*\n\s*)")
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_TABLE = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
 def cut_lines(text: str) -> list[str]:
     """Lines and the gaps after them, in turn: ``"".join`` gives the text back.
 
-    Lines of more than ``LONG`` words are cut after words whose hash says so, which are the same words in every document.
+    Lines of more than ``LONG`` words are cut after words of certain last letters, which are the same words in every document.
     """
     parts = _ENDS.split(text)
     if not any(p.count(" ") >= LONG for p in parts[::2]):
@@ -46,49 +49,57 @@ def cut_lines(text: str) -> list[str]:
     out = []
     for i, part in enumerate(parts):
         if i % 2 == 0 and part.count(" ") >= LONG:
-            at = 0
-            for m in _WORD.finditer(part):
-                if m.end(1) < len(part) and zlib.crc32(m[1].encode()) % 8 == 0:
-                    out += [part[at : m.end(1)], m[2]]
-                    at = m.end()
-            part = part[at:]
-        out.append(part)
+            out += _INNER.split(part)
+        else:
+            out.append(part)
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def line_places(text: str) -> list[int]:
+    """Places, among all lines, of those that have words."""
+    return [i for i, line in enumerate(cut_lines(text)[::2]) if line and not line.isspace()]
 
 
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Hash, number of words and place among all lines, of each line that has words."""
-    hashes, sizes, places = [], [], []
-    for i, line in enumerate(cut_lines(text)[::2]):
-        words = line.encode().split()
-        if words:
-            hashes.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
-            sizes.append(len(words))
-            places.append(i)
-    return hashes, sizes, places
+def line_hashes(text: str) -> tuple[list[int], list[int]]:
+    """Hash and number of words of each line that has words."""
+    hashes, sizes = [], []
+    for line in cut_lines(text)[::2]:
+        if n := len(line.split()):
+            hashes.append(xxhash.xxh3_64_intdigest(line.encode()))
+            sizes.append(n)
+    return np.array(hashes, dtype=np.uint64).view(np.int64).tolist(), sizes
 
 
-def run_ends(sizes: list[int], least: int = MIN_WORDS) -> list[int]:
+def run_ends(sizes: list[int], least: int = MIN_WORDS) -> np.ndarray:
     """For each line the end (exclusive) of its run; only for the lines that have one."""
-    ends, end, words = [], 0, 0
-    for i, n in enumerate(sizes):
-        while words < least and end < len(sizes):
-            words += sizes[end]
-            end += 1
-        if words < least:
-            break
-        ends.append(end)
-        words -= n
-    return ends
+    upto = np.cumsum(np.array(sizes, dtype=np.int64))
+    ends = np.searchsorted(upto, upto - np.array(sizes, dtype=np.int64) + least) + 1
+    return ends[ends <= len(sizes)]
 
 
 def runs(hashes: list[int], sizes: list[int], least: int = MIN_WORDS) -> list[int]:
-    h = np.array(hashes, dtype=np.int64)
-    return [_signed(xxhash.xxh3_64_intdigest(h[i:e].tobytes())) for i, e in enumerate(run_ends(sizes, least))]
+    """Hash of each run: the polynomial of its lines' hashes, from differences of running sums."""
+    ends = run_ends(sizes, least)
+    if not len(ends):
+        return []
+    at, h = np.arange(len(ends)), np.array(hashes, dtype=np.int64).view(np.uint64)
+    power, inverse = _powers(len(h))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power, dtype=np.uint64)])
+    x = (total[ends] - total[at]) * inverse[at] + ends.astype(np.uint64) - at.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * _BASE
+    return (x ^ (x >> np.uint64(29))).view(np.int64).tolist()
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, modulo 2**64, and their inverses."""
+    if len(_TABLE[0]) < n:
+        size = 1 << n.bit_length()
+        steps = np.full(size, _BASE)
+        steps[0] = 1
+        back = np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        back[0] = 1
+        _TABLE[:] = [np.cumprod(steps, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)]
+    return _TABLE[0][:n], _TABLE[1][:n]
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,7 +242,7 @@ def _delete(text_column: str):
             texts = []
             for text, cut in zip(b.column(text_column).to_pylist(), b.column("__cut").to_pylist(), strict=True):
                 parts, gone = cut_lines(text), set(cut)
-                at = {p for k, p in enumerate(line_hashes(text)[2]) if k in gone}
+                at = {p for k, p in enumerate(line_places(text)) if k in gone}
                 texts.append("".join(x for i, x in enumerate(parts) if i // 2 not in at).strip())
             i = b.schema.get_field_index(text_column)
             out = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))

@@ -1,6 +1,6 @@
 import random
 
-from capindex.llm.linededup import common_blocks, cut_lines, dedup_lines, duplicate_lines, line_hashes, line_report, patience, run_ends
+from capindex.llm.linededup import common_blocks, cut_lines, dedup_lines, duplicate_lines, line_hashes, line_report, patience, run_ends, runs
 
 R = random.Random(4)
 
@@ -34,7 +34,9 @@ def test_blocks_that_changed_places_are_found():
 
 
 def test_run_ends():
-    assert run_ends([10, 10, 10, 30, 2]) == [3, 4, 4, 4] and run_ends([]) == [] and run_ends([24]) == []
+    assert run_ends([10, 10, 10, 30, 2]).tolist() == [3, 4, 4, 4] and not len(run_ends([])) and not len(run_ends([24]))
+    a, b = runs([5, 6, 7, 8, 9], [9, 9, 9, 9, 9]), runs([1, 2, 3, 5, 6, 7, 8, 4], [9] * 8)
+    assert len(a) == 3 and a[:2] == b[3:5] and len(set(a + b)) == 7
 
 
 def test_passages_go_from_all_but_the_first(docs_of):
