@@ -225,7 +225,8 @@ def duplicate_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text
     shared = broadcast_if_small(stage(shared, "lines-shared"), 16)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "key")
     held = stage(spread.join(shared, "run", "left_semi").select("run", order.alias("o")), "lines-held")
-    first = held.groupBy("run").agg(F.min("o").alias("first"))
+    # Staged, so that the join below is one of its own, which Spark can split at a run that many documents hold.
+    first = broadcast_if_small(stage(held.groupBy("run").agg(F.min("o").alias("first")), "lines-first"), 48)
     pairs = held.join(first, "run").where("o.key <> first.key").select(
         F.col("o.key").alias("key"), F.col("first.key").alias("first")).distinct()
     own = lines.select("key", "doc_id", "text_hash", "hashes", "sizes").dropDuplicates(["key"])
