@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
 A line ends at a line break or at the end of a sentence, so that passages inside paragraphs are lines too; long ones
-are cut further after words of certain last letters. A *run* is the
+are cut further by winnowing: of each ``WINDOW`` words without such an end, after the one of the least hash. Where a
+passage of 51 words stands in two documents, the lines between its first and its last window are the same and have 25
+words, whatever its script or its white space. Words are what white space separates. A *run* is the
 shortest sequence of lines from a given one on that has ``MIN_WORDS`` words; short lines that recur by chance make no
 run. Of the documents with a run, the first by id keeps it and every later one is paired with that first one, so a run
 that is shared by many documents costs one pair each. The two documents of a pair are aligned by patience diff; common
@@ -29,29 +31,75 @@ from pyspark.sql import functions as F
 from capindex.llm.common import broadcast_if_small, stage
 
 MIN_WORDS = 25
-LONG = 24
-_INNER = re.compile(r"((?<=[hlpxHLPX]) +(?=[^ ]))")
+#: Of so many words in a row one ends a line. The first and the last window of a passage of 2 * WINDOW + MIN_WORDS - 1 = 50
+#: words, and a word that tells whether its end is a line's, leave MIN_WORDS between them.
+WINDOW = 13
 _ENDS = re.compile(r"((?<=[.!?])[ \t]+|\s*\n\s*)")
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+_PLACE = np.cumprod(np.full(1024, _BASE))
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def cut_lines(text: str) -> list[str]:
     """Lines and the gaps after them, in turn: ``"".join`` gives the text back.
 
-    Lines of more than ``LONG`` words are cut after words of certain last letters, which are the same words in every document.
+    Lines of more than ``WINDOW`` words are cut by winnowing, in every document after the same words of a passage.
     """
     parts = _ENDS.split(text)
-    if not any(p.count(" ") >= LONG for p in parts[::2]):
-        return parts
-    out = []
-    for i, part in enumerate(parts):
-        if i % 2 == 0 and part.count(" ") >= LONG:
-            out += _INNER.split(part)
-        else:
-            out.append(part)
+    starts, stops, hashes, ends = _words(text)
+    at = np.flatnonzero(_winnow(hashes, ends) & ~ends)
+    gaps, place = [], 0
+    for k, p in enumerate(parts):
+        if k % 2:
+            gaps.append((place, place + len(p)))
+        place += len(p)
+    gaps += zip(stops[at].tolist(), starts[at + 1].tolist(), strict=True)
+    out, place = [], 0
+    for start, stop in sorted(gaps):
+        out += (text[place:start], text[start:stop])
+        place = stop
+    out.append(text[place:])
+    return out
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, end and hash of each word, as ``text.split()`` has them, and whether it ends a line by ``_ENDS`` or the text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = np.concatenate([[False], ~_SPACE.take(c, mode="clip"), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, stops, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    first = np.repeat(starts, stops - starts)
+    chars = np.flatnonzero(inside[1:-1])
+    upto = np.cumsum(stops - starts) - (stops - starts)
+    h = np.add.reduceat(c[chars] * _PLACE[(chars - first) & 1023], upto)
+    h = (h ^ (h >> np.uint64(32))) * _BASE
+    h ^= h >> np.uint64(29)
+    for k in np.flatnonzero(stops - starts > 1024):
+        h[k] = xxhash.xxh3_64_intdigest(text[starts[k] : stops[k]].encode("utf-8", "surrogatepass"))
+    breaks = np.searchsorted(np.flatnonzero(c == 10), edges[1:-1])
+    after, before = c[stops[:-1]], c[stops[:-1] - 1]
+    ends = (breaks[1::2] > breaks[::2]) | ((after == 32) | (after == 9)) & ((before == 46) | (before == 33) | (before == 63))
+    return starts, stops, h, np.concatenate([ends, [True]])
+
+
+def _winnow(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words end a line: those that do anyway, and of each ``WINDOW`` words without one the least by the upper half of
+    its hash, the last one of equals."""
+    out = ends.copy()
+    if len(hashes) >= WINDOW:
+        low = np.where(ends, np.uint64(0), hashes | np.uint64(1 << 32)) & ~_LOW
+        low, have = low | (_LOW - np.arange(len(hashes), dtype=np.uint64)), 1
+        while have < WINDOW:
+            step = min(have, WINDOW - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        out[(_LOW - (low & _LOW)).astype(np.int64)] = True
     return out
 
 

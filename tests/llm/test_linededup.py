@@ -79,3 +79,51 @@ def test_report_and_empty_table(docs_of):
     t = prose(10)
     rows = {r.doc_id: r for r in line_report(docs_of([(1, t), (2, t + " Own words are here."), (3, None)])).collect()}
     assert [rows[k].changed for k in (1, 2, 3)] == [False, True, False] and rows[2].n_chars == len("Own words are here.")
+
+
+def passages(letters, space, n=51):
+    word = lambda: "".join(R.choice(letters) for _ in range(R.randint(2, 8)))
+    return lambda k=n: space.join(word() for _ in range(k))
+
+
+def test_unpunctuated_passages_of_any_script_share_a_run():
+    scripts = ["abcdefg", "абвгдежзиклмн", "αβγδεζηθικλ", "ابتثجحخدذر", "कखगघचछजझटठ", "0123456789"]
+    for letters in scripts:
+        for space in (" ", "\t", "\u00a0", "  ", ", "):
+            make = passages(letters, space)
+            for at in range(12):
+                passage = make()
+                a, b = (make(R.randint(at, 40)) + space + passage + space + make(R.randint(1, 40)) for _ in range(2))
+                b = "Short one. " + b if at % 2 else b
+                assert set(runs(*line_hashes(a))) & set(runs(*line_hashes(b)))
+                parts = cut_lines(a)
+                assert "".join(parts) == a and max(len(x.split()) for x in parts[::2]) <= 2 * 13
+                assert not any(x.split() for x in parts[1::2])
+
+
+def test_passages_with_line_ends_in_them_share_a_run():
+    make = passages("абвгдежз", " ", 1)
+    for _ in range(300):
+        words = [make() + R.choice(["", "", "", "", "", "", ".", "!\n", "\n"]) for _ in range(51)]
+        a, b = (f"{make(R.randint(1, 30))} {' '.join(words)} {make(R.randint(1, 30))}" for _ in range(2))
+        assert set(runs(*line_hashes(a))) & set(runs(*line_hashes(b)))
+
+
+def test_unpunctuated_passages_are_deleted(docs_of):
+    rows, inner = [], []
+    for k, (letters, space) in enumerate([("абвгдежзик", " "), ("αβγδεζηθ", "\t"), ("कखगघचछज", " "), ("abcdefg", ", ")]):
+        make = passages(letters, space)
+        passage = make()
+        rows += [(10 * k + i, make(60) + space + passage + space + make(60)) for i in range(3)]
+        inner.append(space.join(passage.split(space)[13:38]))
+    left = {r.doc_id: r.text for r in dedup_lines(docs_of(rows)).collect()}
+    assert all([d for d, t in left.items() if x in t] == [10 * k] for k, x in enumerate(inner))
+
+
+def test_words_and_line_ends_are_those_of_split():
+    for _ in range(400):
+        t = "".join(R.choice(["a", "bé", "ж.", "!", "c?", " ", " ", "\t", "\n", "\r\n", "\u00a0", "\u3000", "\x85", "𝄞"]) for _ in range(R.randint(0, 60)))
+        sizes = [len(x.split()) for x in cut_lines(t)[::2]]
+        assert line_hashes(t)[1] == [n for n in sizes if n] and max(sizes) < 13 + 13
+    long = "语" * 3000
+    assert line_hashes(f"a {long} b")[1] == [3] and line_hashes(f"a {long} b") != line_hashes(f"a {long}语 b")
