@@ -42,6 +42,8 @@ _TABLE = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _PLACE = np.cumprod(np.full(1024, _BASE))
 _LOW = np.uint64(0xFFFFFFFF)
+#: Texts are hashed together up to so many characters.
+CHARS = 200_000
 
 
 def cut_lines(text: str) -> list[str]:
@@ -103,19 +105,30 @@ def _winnow(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_places(text: str) -> list[int]:
-    """Places, among all lines, of those that have words."""
-    return [i for i, line in enumerate(cut_lines(text)[::2]) if line and not line.isspace()]
+def line_places(parts: list[str]) -> list[int]:
+    """Places, among all lines of ``cut_lines``, of those that have words."""
+    return [i for i, line in enumerate(parts[::2]) if line and not line.isspace()]
+
+
+def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and number of words of each line that has words, and the number of lines of each text. A line's hash is the
+    polynomial of its words' hashes, so that white space inside a line does not count."""
+    starts, _, h, ends = _words("\n".join(texts))
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), starts, np.zeros(len(texts), dtype=np.int64)
+    last = np.flatnonzero(_winnow(h, ends))
+    first = np.concatenate([[0], last[:-1] + 1])
+    sizes = last - first + 1
+    x = np.add.reduceat(h * _PLACE[np.arange(len(h)) - np.repeat(first, sizes)], first) + sizes.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * _BASE
+    upto = np.cumsum([len(t) + 1 for t in texts])
+    return (x ^ (x >> np.uint64(29))).view(np.int64), sizes, np.diff(np.searchsorted(starts[first], upto), prepend=0)
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
     """Hash and number of words of each line that has words."""
-    hashes, sizes = [], []
-    for line in cut_lines(text)[::2]:
-        if n := len(line.split()):
-            hashes.append(xxhash.xxh3_64_intdigest(line.encode()))
-            sizes.append(n)
-    return np.array(hashes, dtype=np.uint64).view(np.int64).tolist(), sizes
+    hashes, sizes, _ = _lines([text])
+    return hashes.tolist(), sizes.tolist()
 
 
 def run_ends(sizes: list[int], least: int = MIN_WORDS) -> np.ndarray:
@@ -126,16 +139,24 @@ def run_ends(sizes: list[int], least: int = MIN_WORDS) -> np.ndarray:
 
 
 def runs(hashes: list[int], sizes: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Hash of each run: the polynomial of its lines' hashes, from differences of running sums."""
+    """Hash of each run."""
+    return _runs(np.array(hashes, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array([len(sizes)]), least)[0].tolist()
+
+
+def _runs(hashes: np.ndarray, sizes: np.ndarray, lines: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of texts of so many lines, the polynomial of its lines' hashes from differences of running sums, and
+    the number of runs of each text."""
     ends = run_ends(sizes, least)
-    if not len(ends):
-        return []
-    at, h = np.arange(len(ends)), np.array(hashes, dtype=np.int64).view(np.uint64)
+    upto = np.cumsum(lines)
+    at = np.flatnonzero(ends <= np.repeat(upto, lines)[: len(ends)])
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(lines), dtype=np.int64)
+    ends, h = ends[at], hashes.view(np.uint64)
     power, inverse = _powers(len(h))
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * power, dtype=np.uint64)])
     x = (total[ends] - total[at]) * inverse[at] + ends.astype(np.uint64) - at.astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * _BASE
-    return (x ^ (x >> np.uint64(29))).view(np.int64).tolist()
+    return (x ^ (x >> np.uint64(29))).view(np.int64), np.diff(np.searchsorted(at, upto), prepend=0)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +224,8 @@ def patience(a: list[int], b: list[int]) -> dict[int, int]:
 def common_blocks(later: list[int], sizes: list[int], first: list[int], first_sizes: list[int], least: int = MIN_WORDS) -> list[int]:
     """Lines of ``later`` in common blocks of ``least`` words. Blocks that changed places, which an alignment crosses, are
     found by their runs afterwards and extended as far as they go."""
+    if later == first:
+        return list(range(len(later))) if sum(sizes) >= least else []
     match = patience(later, first)
     cut: set[int] = set()
     block: list[int] = []
@@ -217,11 +240,15 @@ def common_blocks(later: list[int], sizes: list[int], first: list[int], first_si
             close()
         block.append(i)
     close()
+    if len(cut) == len(later):
+        return sorted(cut)
+    own = runs(later, sizes, least)
+    todo = [i for i in range(len(own)) if i not in cut or i + 1 not in cut]
     where: dict[int, int] = {}
-    for j, r in enumerate(runs(first, first_sizes, least)):
+    for j, r in enumerate(runs(first, first_sizes, least) if todo else []):
         where.setdefault(r, j)
-    for i, r in enumerate(runs(later, sizes, least)):
-        j = where.get(r, -1)
+    for i in todo:
+        j = where.get(own[i], -1)
         if j < 0 or i in cut and i + 1 in cut:
             continue
         k = 0
@@ -235,19 +262,35 @@ def common_blocks(later: list[int], sizes: list[int], first: list[int], first_si
 LINES = "doc_id bigint, text_hash bigint, `key` bigint, hashes array<bigint>, sizes array<int>, runs array<bigint>"
 
 
+def _listed(values: np.ndarray, many: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(values))
+
+
+def _unlisted(lists: pa.ListArray) -> list[list[int]]:
+    values, at = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+    return [values[i:j] for i, j in pairwise(at)]
+
+
 def _hash_lines(least: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("hashes", pa.list_(pa.int64())),
                         ("sizes", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                lines = [line_hashes(t) for t in b.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            at = 0
+            while at < len(texts):
+                stop, chars = at + 1, len(texts[at])
+                while stop < len(texts) and chars + len(texts[stop]) <= CHARS:
+                    chars += len(texts[stop])
+                    stop += 1
+                hashes, sizes, lines = _lines(texts[at:stop])
+                found, many = _runs(hashes, sizes, lines, least)
+                b = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("text_hash"), b.column("key"), pa.array([x[0] for x in lines], pa.list_(pa.int64())),
-                    pa.array([x[1] for x in lines], pa.list_(pa.int32())),
-                    pa.array([runs(x[0], x[1], least) for x in lines], pa.list_(pa.int64()))], schema=schema)
+                    b.column("doc_id"), b.column("text_hash"), b.column("key"), _listed(hashes, lines), _listed(sizes.astype(np.int32), lines),
+                    _listed(found, many)], schema=schema)
+                at = stop
 
     return run
 
@@ -255,7 +298,7 @@ def _hash_lines(least: int):
 def _align(least: int):
     def run(batches):
         for b in batches:
-            found = [common_blocks(*row, least) for row in zip(*[b.column(c).to_pylist() for c in (
+            found = [common_blocks(*row, least) for row in zip(*[_unlisted(b.column(c)) for c in (
                 "hashes", "sizes", "first_hashes", "first_sizes")], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(found, pa.list_(pa.int32()))],
                                              names=["doc_id", "text_hash", "cut"])
@@ -291,7 +334,7 @@ def _delete(text_column: str):
             texts = []
             for text, cut in zip(b.column(text_column).to_pylist(), b.column("__cut").to_pylist(), strict=True):
                 parts, gone = cut_lines(text), set(cut)
-                at = {p for k, p in enumerate(line_places(text)) if k in gone}
+                at = {p for k, p in enumerate(line_places(parts)) if k in gone}
                 texts.append("".join(x for i, x in enumerate(parts) if i // 2 not in at).strip())
             i = b.schema.get_field_index(text_column)
             out = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))

@@ -1,6 +1,6 @@
 import random
 
-from capindex.llm.linededup import common_blocks, cut_lines, dedup_lines, duplicate_lines, line_hashes, line_report, patience, run_ends, runs
+from capindex.llm.linededup import _lines, _runs, common_blocks, cut_lines, dedup_lines, duplicate_lines, line_hashes, line_report, patience, run_ends, runs
 
 R = random.Random(4)
 
@@ -127,3 +127,22 @@ def test_words_and_line_ends_are_those_of_split():
         assert line_hashes(t)[1] == [n for n in sizes if n] and max(sizes) < 13 + 13
     long = "语" * 3000
     assert line_hashes(f"a {long} b")[1] == [3] and line_hashes(f"a {long} b") != line_hashes(f"a {long}语 b")
+
+
+def test_white_space_inside_lines_does_not_count(docs_of):
+    assert line_hashes("a b c. d") == line_hashes("a  b\tc. \u00a0d") != line_hashes("a b cd")
+    passage = prose(8)
+    other = passage.replace(". ", ".  ").replace(" ", "\t", 3).replace("e ", "e   ")
+    left = {r.doc_id: r.text for r in dedup_lines(docs_of([(1, passage), (2, f"Own words. {other}")])).collect()}
+    assert left == {1: passage, 2: "Own words."}
+
+
+def test_texts_hashed_together_have_the_lines_and_runs_of_each():
+    texts = ["", "a", " \n", *(prose(R.randint(1, 8)) for _ in range(40)), passages("абв", "\t")(90), "", "x. y"]
+    hashes, sizes, lines = _lines(texts)
+    found, many = _runs(hashes, sizes, lines, 25)
+    for k, t in enumerate(texts):
+        at, run = lines[:k].sum(), many[:k].sum()
+        own = line_hashes(t)
+        assert (hashes[at : at + lines[k]].tolist(), sizes[at : at + lines[k]].tolist()) == own
+        assert found[run : run + many[k]].tolist() == runs(*own)
