@@ -18,8 +18,9 @@ least ``NUMER / DENOM``.
    over ``CROWD`` members signatures are wider, so that fewer pairs pass by chance.
 6. *Verification* intersects the sorted gram arrays of the two classes.
 
-A pair is left out only when a bound rules it out or both classes are connected already, so components are exact. Pairs
-are made inside a task, block by block, and only those that pass the bounds are rows.
+A pair is left out only when a bound rules it out or both classes are connected already, so components are exact.
+``jaccard_links``, which counts the links, leaves step 4 out and compares all members of the tiles, so that it has every link
+between different classes. Pairs are made inside a task, block by block, and only those that pass the bounds are rows.
 
 Documents without words have the empty set, link with nothing and are components of their own; null texts count as
 empty; documents of fewer than five words are one gram, the whole sequence. Null ids are ignored by the least id. Grams
@@ -357,8 +358,9 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``documents``: doc_id, text_hash, n_shingles and component_id (least id of the linked documents)."""
+def _compare(documents: DataFrame, doc: str, text: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with size and class of their sets, the classes, and links (c, d) between classes: enough to connect what is
+    connected or, with ``every``, all of them once."""
     docs = documents.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     rows = stage(docs.mapInArrow(_sets, "doc_id bigint, text_hash bigint, n int, c bigint, sig binary, least array<bigint>"), "jaccard-sets")
@@ -375,17 +377,21 @@ def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text
         F.max("sig").alias("sig"), F.max("n").alias("n")), "jaccard-signatures")
 
     # Stars: the pivot of a tile is its member with the most shared grams; each class is compared with its commonest pivot.
-    weight = member.groupBy("c").agg(F.count("*").alias("k"))
-    weighed = member.select("gram", "band", "c").join(weight, "c")
-    pivots = weighed.groupBy("gram", "band").agg(F.max(F.struct("k", "c")).alias("p")).select("gram", "band", F.col("p.c").alias("d"))
-    votes = member.select("gram", "band", "c").join(pivots, ["gram", "band"]).where("c <> d").groupBy("c", "d").agg(F.count("*").alias("k"))
-    star = votes.groupBy("c").agg(F.max(F.struct("k", "d")).alias("p")).select("c", F.col("p.d").alias("d"))
-    bounded = star.join(sigs, "c").join(sigs.select(F.col("c").alias("d"), F.col("sig").alias("other"), F.col("n").alias("m")), "d")
-    first = _links(stage(bounded.mapInArrow(_bound_pairs, PAIR), "jaccard-star"), docs, classes)
-    labels = stage(components(first, "c", "d"), "jaccard-labels")
+    if not every:
+        weight = member.groupBy("c").agg(F.count("*").alias("k"))
+        weighed = member.select("gram", "band", "c").join(weight, "c")
+        pivots = weighed.groupBy("gram", "band").agg(F.max(F.struct("k", "c")).alias("p")).select("gram", "band", F.col("p.c").alias("d"))
+        votes = member.select("gram", "band", "c").join(pivots, ["gram", "band"]).where("c <> d").groupBy("c", "d").agg(F.count("*").alias("k"))
+        star = votes.groupBy("c").agg(F.max(F.struct("k", "d")).alias("p")).select("c", F.col("p.d").alias("d"))
+        bounded = star.join(sigs, "c").join(sigs.select(F.col("c").alias("d"), F.col("sig").alias("other"), F.col("n").alias("m")), "d")
+        first = _links(stage(bounded.mapInArrow(_bound_pairs, PAIR), "jaccard-star"), docs, classes)
+        labels = stage(components(first, "c", "d"), "jaccard-labels")
 
     # Tiles with two labels, all pairs that no bound rules out.
-    known = sigs.join(labels, F.col("c") == F.col("node"), "left").select("c", "sig", F.coalesce("label", "c").alias("label"))
+    if every:
+        known = sigs.select("c", "sig", F.col("c").alias("label"))
+    else:
+        known = sigs.join(labels, F.col("c") == F.col("node"), "left").select("c", "sig", F.coalesce("label", "c").alias("label"))
     small = known.select("c", "label")
     both = member.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
         "band", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).join(small, "c")
@@ -402,8 +408,13 @@ def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text
                          "c", "n", "pos", "label", "sig")
     pairs = tiles.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tiles, PAIR).distinct()
     second = _links(stage(pairs, "jaccard-pairs"), docs, classes)
+    return rows, classes, second if every else first.unionByName(second)
+
 
-    linked = stage(components(first.unionByName(second), "c", "d"), "jaccard-linked")
+def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``documents``: doc_id, text_hash, n_shingles and component_id (least id of the linked documents)."""
+    rows, classes, links = _compare(documents, doc, text, False)
+    linked = stage(components(links, "c", "d"), "jaccard-linked")
     named = classes.join(linked, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     answer = stage(named.join(least, "label").select("c", "component_id"), "jaccard-answer")
@@ -412,6 +423,22 @@ def jaccard_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def jaccard_links(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``documents``: doc_id, text_hash, n_shingles and n_links, the number of other rows that link to it.
+
+    Rows of one class link to each other; a link between classes counts as often as the other class has rows. All pairs of
+    classes that the bounds allow are verified, so a group of k near copies costs up to k * (k - 1) / 2 rows of pairs.
+    """
+    rows, _, links = _compare(documents, doc, text, True)
+    size = stage(rows.where(F.col("n") > 0).groupBy("c").agg(F.count("*").alias("k")), "jaccard-sizes")
+    both = links.unionByName(links.select(F.col("d").alias("c"), F.col("c").alias("d")))
+    others = both.join(size.select(F.col("c").alias("d"), "k"), "d").groupBy("c").agg(F.sum("k").alias("others"))
+    many = size.join(others, "c", "left").select("c", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.select("doc_id", "text_hash", "n", "c").join(many, "c", "left")
+    return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"),
+                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` without those that link, directly or through others, to a document of a lesser id.
 

@@ -5,7 +5,7 @@ import pytest
 
 from capindex.llm import jaccard
 from capindex.llm.components import components
-from capindex.llm.jaccard import jaccard_classes, jaccard_report, one_of_each
+from capindex.llm.jaccard import jaccard_classes, jaccard_links, jaccard_report, one_of_each
 
 
 def grams(t):
@@ -62,6 +62,19 @@ def test_equals_brute_force(spark, monkeypatch, block, frequent):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(brute(docs), key=key)
 
 
+@pytest.mark.parametrize("block,frequent", [(4096, 16), (5, 2)])
+def test_links_equal_brute_force(spark, monkeypatch, block, frequent):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    docs = make(block + 1)
+    sets = [grams(t) for _, t in docs]
+    links = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    want = [(d, len(s), n) for (d, _), s, n in zip(docs, sets, links)]
+    got = jaccard_links(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted([(r.doc_id, r.n_shingles, r.n_links) for r in got], key=key) == sorted(want, key=key) and max(links) > 5
+
+
 def test_only_the_least_of_a_group_stays(spark):
     docs = [(i, f"{i % 3} same words in every text of this group " * 3) for i in range(9)] + [(50, None), (51, ""), (4, "1 stands alone")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("doc_id", "text", "7 as component_id", "'h' as text_hash")
