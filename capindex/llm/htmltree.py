@@ -1,7 +1,9 @@
 """HTML to a tree of block elements and the text in them.
 
 A lenient reader in one pass: unclosed paragraphs and list items end where the next block begins, end tags without a start
-are ignored, script, style and the like are skipped whole, comments and declarations too. Inline elements belong to the
+are ignored, script, style, title and textarea are skipped whole, comments and declarations too; controls and media are skipped
+up to their end tag, which must come before the block around them ends, and without one up to the next block's start or end; math
+and object are text. Inline elements belong to the
 block around them; a line break counts as a blank.
 """
 
@@ -15,13 +17,16 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title template noscript iframe textarea select button svg math object audio video canvas head".split())
+RAW = frozenset("script style title textarea head".split())
+#: Controls and media.
+ASIDE = frozenset("template noscript iframe select button svg audio video canvas".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"},
          "th": {"tr", "table"}}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_HAS_ASIDE = re.compile(rf"<(?:{'|'.join(sorted(ASIDE))})[\s/>]", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -48,12 +53,48 @@ def _raw_end(html: str, tag: str, at: int) -> int:
     return m.end() if m else at if tag == "head" else len(html)
 
 
+def _aside_ends(html: str) -> dict[int, int]:
+    """Start and end of the elements of ``ASIDE`` that end inside the block around them."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    last: dict[str, int] = {}
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        name = m[2] or m[5]
+        tag, end = (name or "").lower(), bool(m[1] or m[4])
+        if tag in RAW:
+            if not end and not (m[3] or m[6] or "").endswith("/"):
+                at = _raw_end(html, tag, at)
+        elif tag in VOID or tag not in BLOCKS and tag not in ASIDE:
+            continue
+        elif end:
+            while opened.get(tag):
+                top, start = stack.pop()
+                opened[top] -= 1
+                if top == tag:
+                    if tag in ASIDE:
+                        ends[start] = at
+                    break
+        elif tag in BLOCKS or not (m[3] or m[6] or "").endswith("/"):
+            if tag in ("button", "select") and opened.get(tag):  # these hold none of their kind: the open one has no end
+                stack[last[tag]] = ("", -1)
+                opened[tag], opened[""] = opened[tag] - 1, opened.get("", 0) + 1
+            last[tag] = len(stack)
+            stack.append((tag, m.start()))
+            opened[tag] = opened.get(tag, 0) + 1
+    return ends
+
+
 def parse(html: str) -> Tree:
     t = Tree()
     stack = [0]
     links = 0  # open links
     text: list[str] = []
     linked = 0
+    aside = _aside_ends(html) if _HAS_ASIDE.search(html) else {}
+    dropped = False  # after an element of ASIDE without an end, up to the next block
 
     def flush() -> None:
         nonlocal linked
@@ -72,7 +113,7 @@ def parse(html: str) -> Tree:
 
     at = 0
     while m := _TOKEN.search(html, at):
-        if m.start() > at:
+        if m.start() > at and not dropped:
             add(html[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
@@ -86,15 +127,21 @@ def parse(html: str) -> Tree:
         elif tag in RAW:
             if not end and not (m[3] or m[6] or "").endswith("/"):
                 at = _raw_end(html, tag, at)
+        elif tag in ASIDE:
+            if not end and not (m[3] or m[6] or "").endswith("/"):
+                dropped = dropped or m.start() not in aside
+                at = aside.get(m.start(), at)
         elif tag not in BLOCKS:
             continue
         elif end:
+            dropped = False
             if any(t.tag[k] == tag for k in stack[1:]):
                 flush()
                 while t.tag[stack.pop()] != tag:
                     pass
                 links = 0
         else:
+            dropped = False
             flush()
             links = 0
             if tag in ("html", "body") and any(t.tag[k] == tag for k in stack):
@@ -122,6 +169,7 @@ def parse(html: str) -> Tree:
             t.hidden.append(bool(attrs and _HIDDEN.search(attrs)))
             t.mark.append(None if mark is None else mark[1] == "1")
             stack.append(len(t.tag) - 1)
-    add(html[at:])
+    if not dropped:
+        add(html[at:])
     flush()
     return t

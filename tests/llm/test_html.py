@@ -73,6 +73,23 @@ def test_reader():
     assert len(text("<div>" * 5000 + "x")) == 1 and text("<a href='" * 3000)
 
 
+def test_elements_without_an_end_end_with_their_block(model):
+    text = lambda h: [x for _, x, _ in parse(h).runs]
+    for tag in "template noscript iframe select button svg audio video canvas".split():
+        assert text(f"<p>a<{tag}>x<b>y</b></{tag}>b") == ["ab"] and text(f"<p>a<{tag}/>b") == ["ab"]
+        assert text(f"<body><{tag}>menu<article><p>a</p></article>") == ["a"]
+        assert text(f"<div><p>a <{tag}>x</p><p>b</p></div>c") == ["a", "b", "c"]
+        assert text(f"<{tag}><div>x</div><p>y</{tag}><p>a") == ["a"]
+    assert text("<button>menu<article>a</article><p>b<button>x</button>c") == ["a", "bc"]
+    assert text("<svg><svg>x</svg>y</svg>a<script><svg></script>b") == ["ab"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo>2</math> and <object data=y>z</object>.</p>") == ["so x=2 and z."]
+    assert text("<object data=x><p>a<math>") == ["a"]
+    assert len(text("<svg><div>" * 3000 + "x" + "</svg>" * 10)) <= 1 and len(text("<button><div>" * 3000 + "x")) == 1
+    body = "<article><h1>Words of a title</h1>" + "<p>One two three four five. Six seven eight nine ten.</p>" * 3 + "</article></body></html>"
+    whole = main_text("<html><body>" + body, model)
+    assert whole and all(main_text(f"<html><body><{x}>" + body, model) == whole for x in ("button", "object", "svg"))
+
+
 def test_odd_pages(spark, model):
     rows = [(1, None), (2, ""), (3, "<html></html>"), (4, "<nav><a href=x>menu</a></nav>"), (4, "<nav><a href=x>menu</a></nav>"),
             (None, "<article><p>One two three four five. Six seven eight.</p></article>"), (6, "<div>" * 3000 + "<p>deep words here.</p>")]
