@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capindex.llm.chat import chat_report
+from capindex.llm.collocations import LEAST, TOP, phrase_report
 from capindex.llm.common import UPPER, table
 from capindex.llm.decontaminate import contamination_report
 from capindex.llm.htmlextract import extraction_report
@@ -131,3 +132,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html")
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction_report(table(spark, sf_dir, "pages"))
+
+
+@query("op11_collocations", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                                   '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS a
+      FROM w, (SELECT unnest(range(1, 5)) AS k) AS lens, unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL HAVING count(*) >= {LEAST}),
+cut AS (SELECT f.lang, f.phrase, f.k AS len, f.a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS first,
+               array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS rest FROM f, unnest(range(1, f.k)) AS t(j)),
+s AS (SELECT cut.lang, cut.phrase, cut.len, cut.a, min({{'score': CAST((2000000::HUGEINT * cut.a) // (x.a + y.a) AS BIGINT), 'j': j, 'l': x.a, 'r': y.a}}) AS s
+      FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.first JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.rest GROUP BY ALL),
+inside AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+           FROM f, (SELECT unnest([2, 3]) AS m) AS lens, unnest(range(1, f.k - m + 2)) AS t(i) WHERE f.k > m GROUP BY ALL),
+top AS (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.s.score DESC, s.a DESC, encode(s.phrase)) AS rank, s.phrase, s.a, s.s.l AS l, s.s.r AS r, n.n, s.s.score AS score
+        FROM s JOIN n USING (lang) LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top WHERE rank <= {TOP}
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_report(table(spark, sf_dir, "documents"))
