@@ -19,9 +19,11 @@ from capindex.llm.jaccard import jaccard_report
 from capindex.llm.langid import language_report
 from capindex.llm.linededup import line_report
 from capindex.llm.packing import packing_report
+from capindex.llm.periodic import run_report
 from capindex.llm.pii import pii_report
 from capindex.llm.quality import quality_report
 from capindex.llm.sharding import SHARD_BYTES, shard
+from capindex.llm.urlfilter import DAMPING, HIDDEN, LINK, RULES, SCALE, SMALLEST, THRESHOLD, url_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +155,58 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM top WHERE rank <= {TOP}
 """)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic", f"""
+WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS v,
+                  xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                      lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM documents),
+g AS (SELECT *, len(v) AS n, h // 10 AS g FROM c),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN v ELSE list_transform(range(0, n), lambda i: v[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+m AS (SELECT doc_id, q, list_concat([0], list_filter(range(1, n - q + 1), lambda i: w[i] <> w[i + q]), [n - q + 1]) AS m FROM d, unnest(range(1, n // 4 + 1)) AS t(q)),
+s AS (SELECT doc_id, q, m[i] AS start, m[i + 1] - m[i] - 1 + q AS length
+      FROM (SELECT doc_id, q, m, unnest(list_filter(range(1, len(m)), lambda i: m[i + 1] - m[i] - 1 + q >= greatest(6, 4 * q))) AS i FROM m)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                first({{'start': start, 'length': length, 'period': period}} ORDER BY length / period DESC, start, period) AS b FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, (1000 * b.length) // b.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_urlfilter", f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {', '.join(map(str, RULES))}) AS t(verdict, site, start)),
+u AS (SELECT page_id, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '(?s)^[^/?#]*', 0), '{UPPER}', '{UPPER.lower()}') AS host,
+             regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+r AS (SELECT page_id, html, host, path,
+             (SELECT first({{'rule': site || start, 'verdict': verdict}} ORDER BY length(site || start) DESC) FROM rules
+              WHERE (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)) AS r FROM p),
+hosts AS (SELECT host, (count(*) FILTER (r.verdict = 'allow') * {SCALE}) // count(*) AS good,
+                 (count(*) FILTER (r.verdict = 'block') * {SCALE}) // count(*) AS bad FROM r WHERE host <> '' GROUP BY host),
+links AS (SELECT DISTINCT host AS src, translate(regexp_replace(x, '^([A-Za-z]*:)?//', ''), '{UPPER}', '{UPPER.lower()}') AS dst
+          FROM (SELECT host, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{LINK}', 1)) AS x
+                FROM r WHERE host <> '')),
+e AS (SELECT 'trust' AS kind, src, dst FROM links WHERE src <> dst UNION ALL SELECT 'distrust', dst, src FROM links WHERE src <> dst),
+w AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM e),
+steps AS (SELECT 0 AS step, kind, host, CAST(score AS BIGINT) AS score
+          FROM (SELECT 'trust' AS kind, host, good AS score FROM hosts UNION ALL SELECT 'distrust', host, bad FROM hosts) WHERE score > 0
+          UNION ALL
+          SELECT step + 1, steps.kind, w.dst, CAST(sum(((score // degree) * {DAMPING}) // 100) AS BIGINT)
+          FROM steps JOIN w ON w.kind = steps.kind AND w.src = steps.host GROUP BY step, steps.kind, w.dst
+          HAVING sum(((score // degree) * {DAMPING}) // 100) >= {SMALLEST}),
+s AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
+      FROM steps GROUP BY host)
+SELECT page_id, r.host, path, r.r.rule AS rule,
+       coalesce(r.r.verdict, CASE WHEN distrust > trust AND distrust > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN s USING (host)
+""")
+def op13_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_report(table(spark, sf_dir, "pages"))
