@@ -126,7 +126,7 @@ def _bit(lang: str, word: bytes) -> int:
 
 
 def _suffixes(lang: str, texts: list[bytes], frequent: np.ndarray, hot: np.ndarray):
-    """Rows of one chunk: route, words counted from, the words, how often."""
+    """Rows of one chunk: route, body (the words, a tab, the words counted from, the language), how often."""
     idx, words, is_word = _tokens(texts)
     bits = np.array([_bit(lang, w) for w in words.cast(pa.large_binary()).to_pylist()], dtype=np.int64)
     good = is_word & ((frequent[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
@@ -155,9 +155,10 @@ def _suffixes(lang: str, texts: list[bytes], frequent: np.ndarray, hot: np.ndarr
         part = [c[first] for c in part]
         texts_of = [words.take(pa.array(c, pa.int64(), mask=c < 0)).cast(pa.string()) for c in part]
         joined = pc.binary_join_element_wise(*texts_of, " ", null_handling="skip")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_route(h, *part[:shortest])), pa.array(np.full(len(n), shortest, dtype=np.int32)), pa.array([lang] * len(n), pa.string()),
-             joined, pa.array(n, pa.int64())], names=["route", "shortest", "lang", "phrase", "k"])
+        body = pc.binary_join_element_wise(joined, f"{shortest}{lang}", "\t")
+        # half a hash is enough to deal rows out: routes that share it are only counted in one go
+        route = _route(h, *part[:shortest]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(route), body, pa.array(n.astype(np.int32))], names=["route", "body", "k"])
 
 
 def multikey_counts(keys: np.ndarray, weight: np.ndarray, least: int, shortest: int = 1):
@@ -208,14 +209,13 @@ def multikey_counts(keys: np.ndarray, weight: np.ndarray, least: int, shortest:
     return row[use], n[use], size[use]
 
 
-def _count_rows(langs: pa.Array, phrases: pa.Array, shortest: np.ndarray, weight: np.ndarray, least: int):
+def _count_rows(lang: pa.DictionaryArray, phrases: pa.Array, shortest: np.ndarray, weight: np.ndarray, least: int):
     """Counts of whole routes."""
     split = pc.split_pattern(phrases, " ")
     length = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
     flat = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.cumsum(length) - length
-    lang = langs.dictionary_encode()
     keys = np.full((len(length), LONGEST), -1, dtype=np.int64)
     blank = pa.scalar(" ", phrases.type)
     for k in range(LONGEST):
@@ -265,15 +265,15 @@ def _count_routes(least: int):
 
 
 def _merged(t: pa.Table) -> list[pa.RecordBatch]:
-    names = ["route", "shortest", "lang", "phrase"]
-    return t.group_by(names).aggregate([("k", "sum")]).rename_columns([*names, "k"]).combine_chunks().to_batches()
+    return t.group_by(["route", "body"]).aggregate([("k", "sum")]).rename_columns(["route", "body", "k"]).cast(t.schema).combine_chunks().to_batches()
 
 
 def _of_table(t: pa.Table, least: int):
-    t = t.combine_chunks()
-    col = {c: t.column(c).combine_chunks() for c in t.column_names}
-    langs, phrases = (pc.cast(col[c], pa.large_string()) for c in ("lang", "phrase"))
-    for b in _count_rows(langs, phrases, col["shortest"].to_numpy(), col["k"].to_numpy(), least):
+    body = pc.split_pattern(t.column("body").combine_chunks().cast(pa.large_string()), "\t", max_splits=1)
+    group = pc.list_element(body, 1).dictionary_encode()  # words counted from and language: a few values
+    langs = pa.DictionaryArray.from_arrays(group.indices, pc.utf8_slice_codeunits(group.dictionary, 1))
+    shortest = pc.utf8_slice_codeunits(group.dictionary, 0, 1).cast(pa.int64()).to_numpy(zero_copy_only=False)[group.indices.to_numpy()]
+    for b in _count_rows(langs, pc.list_element(body, 0), shortest, t.column("k").to_numpy().astype(np.int64), least):
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), b.column(2), b.column(3)], names=b.schema.names)
 
 
@@ -307,7 +307,7 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, text: str = "text",
         for code, texts in _chunks(batches):
             yield from _suffixes(code, texts, frequent, spread)
 
-    routed = rows.mapInArrow(suffixes, "route bigint, shortest int, lang string, phrase string, k bigint").repartition("route").sortWithinPartitions("route")
+    routed = rows.mapInArrow(suffixes, "route int, body string, k int").repartition("route").sortWithinPartitions("route")
     longer = stage(routed.mapInArrow(_count_routes(least), "lang string, phrase string, words int, a bigint"), "phrase-counts")
     return words.unionByName(longer), totals
 
