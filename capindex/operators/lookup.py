@@ -6,13 +6,13 @@ from __future__ import annotations
 import random as _random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import instant, lit_ts, time_distance
 from ..schema import DEFAULT_FIELDS, DEFAULT_LIMIT, DEFAULT_ORDER, REQUIRED
-from ..plans.guards import bounded_broadcast
 from ..session import default_parallelism, scratch_path
+from ..sources.layout import place_among
 from .predicates import match
 
 
@@ -190,25 +190,23 @@ def random_order(df: DataFrame, seed: int | str, n: int | None = None, **conditi
     return out.limit(n) if n is not None else out
 
 
-MAX_GROUP_ROWS = 2_000_000     # captures of one (url, bucket) handled by one task before it is split
+MAX_GROUP_ROWS = 2_000_000     # captures and requests of one URL handled by one task before they are cut into ranges
 MAX_ASKED_BROADCAST = 50_000   # requested URLs listed to every task below this (counted) number: a few MB
-MAX_HOT_BROADCAST = 1_000_000  # split buckets listed to every task below this (counted) number
+RANGE_SAMPLE = 100             # sampled rows per range
+RANGE_SAMPLE_ROWS = 400_000    # and in all: what the driver sorts
 
 
 def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distance_ms: int | None = None,
-            payload: Sequence[str] = ("date", "id"), bucket_seconds: int = 86400,
-            max_group_rows: int = MAX_GROUP_ROWS, decode_url: bool = False,
+            payload: Sequence[str] = ("date", "id"), max_group_rows: int = MAX_GROUP_ROWS, decode_url: bool = False,
             keep_unmatched: bool = False) -> DataFrame:
     """For each request ``(url, t)`` the capture of that URL nearest to ``t`` (ties: earlier, then smaller id).
 
-    Requests are never paired with captures. Requests and captures are unioned and cut into
-    ``(url, time bucket)`` groups, so a URL holding a third of all captures is spread over many tasks.
-    Inside a group two running windows give each request the last capture at or before it and the first
-    after it. A request whose bucket has no capture on one side takes the last (first) capture of the
-    nearest earlier (later) non-empty bucket, from a window over a per-bucket summary (one row per
-    non-empty bucket, written once to the shared folder). A bucket holding more than ``max_group_rows``
-    captures is split further: its captures are spread over ``s`` salts by id, each of its requests
-    visits all ``s`` salts, and the ``s`` partial answers are combined exactly.
+    An as-of join by prefix scan: requests are never paired with captures. Both are put into one order (URL, time, captures
+    before requests, a hash), in which each request takes the last capture before it and the first after it. The order is
+    cut into ranges of at most about ``max_group_rows`` rows, at places drawn from a sample of requests and captures, so a
+    URL, a day or an instant that holds a third of either is spread over many tasks. Inside a URL's range two running
+    windows find the neighbours; across the borders each range's first and last capture is carried on (one row per
+    URL and range). Without a cut there is nothing to carry.
 
     Output: request columns, the ``payload`` columns of the chosen capture, ``distance_ms``.
     """
@@ -216,7 +214,7 @@ def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distanc
     given = requests
     if decode_url:
         requests = requests.withColumn("url", F.coalesce(F.try_url_decode("url"), F.col("url")))
-    out = _closest_by_window(requests, df, t_col, payload, bucket_seconds, keep_unmatched, max_group_rows)
+    out = _closest_by_scan(requests, df, t_col, payload, keep_unmatched, max_group_rows)
     found = [*payload, "distance_ms"]
     if max_distance_ms is not None:
         near = F.col("distance_ms") <= F.lit(int(max_distance_ms))
@@ -232,13 +230,26 @@ def closest(requests: DataFrame, df: DataFrame, *, t_col: str = "t", max_distanc
     return out
 
 
-def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload: Sequence[str],
-                       bucket_seconds: int, keep_unmatched: bool, max_group_rows: int) -> DataFrame:
-    spark = df.sparkSession
+_PLACE = "struct<url:string,_ms:bigint,_kind:int,_tie:bigint>"
+
+
+def _range_borders(places: DataFrame, max_group_rows: int) -> list:
+    """Where the order of ``places`` (columns of ``_PLACE``) is cut; nowhere when one range is enough."""
+    n = places.count()
+    k = -(-2 * n // max_group_rows)  # half full on average, so that sampling error does not matter
+    if n <= max_group_rows:
+        return []
+    share = min(1.0, 1.2 * min(RANGE_SAMPLE * k, RANGE_SAMPLE_ROWS) / n)
+    order = ["url", "_ms", "_kind", "_tie"]
+    sample = (places if share >= 1 else places.sample(share, seed=5)).select(F.struct(*order).alias("p")).sort("p").collect()
+    borders = [sample[len(sample) * i // k].p for i in range(1, k)] if sample else []
+    return [p for i, p in enumerate(borders) if not i or p != borders[i - 1]]
+
+
+def _closest_by_scan(requests: DataFrame, df: DataFrame, t_col: str, payload: Sequence[str], keep_unmatched: bool,
+                     max_group_rows: int) -> DataFrame:
     req_cols = requests.columns
-    b_ms = int(bucket_seconds) * 1000
     cap_struct = F.struct(F.unix_millis("date").alias("ms"), *[F.col(p) for p in payload])
-    req_type = "struct<" + ",".join(f"`{c}`:{requests.schema[c].dataType.simpleString()}" for c in req_cols) + ">"
     # a null URL or instant matches nothing (window partitions would group nulls together)
     df = df.where(F.col("url").isNotNull() & F.col("date").isNotNull())
     requests = requests.where(F.col("url").isNotNull() & F.col(t_col).isNotNull())
@@ -247,49 +258,16 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     asked = requests.select("url").distinct()
     if asked.limit(MAX_ASKED_BROADCAST + 1).count() <= MAX_ASKED_BROADCAST:
         df = df.join(F.broadcast(asked), "url", "left_semi")
-    caps = df.select("url", F.floor(F.unix_millis("date") / F.lit(b_ms)).alias("_b"),
-                     F.unix_millis("date").alias("_ms"), F.col("id").alias("_id"), cap_struct.alias("_cap"))
-    cap_type = caps.schema["_cap"].dataType
-    reqs = requests.select("url", F.floor(F.unix_millis(t_col) / F.lit(b_ms)).alias("_b"),
-                           F.unix_millis(t_col).alias("_ms"), F.struct(*req_cols).alias("_req"),
-                           F.monotonically_increasing_id().alias("_rk"))
-
-    # first/last capture and size of every non-empty (url, bucket), written once: it serves the split
-    # decision and the fallback for requests with an empty side
-    path = scratch_path(spark, "closest-buckets")
-    # the number of buckets to split is observed while the summary is written (no second pass; there is
-    # no range exchange here, whose sampling job would also feed the metric). It only chooses the plan:
-    # the buckets split are read from the summary itself.
-    seen = Observation("closest-buckets")
-    (caps.groupBy("url", "_b")
-     .agg(F.min_by("_cap", F.struct("_ms", "_id")).alias("_first"),
-          F.min_by("_cap", F.struct(-F.col("_ms"), F.col("_id"))).alias("_last"),
-          F.count(F.lit(1)).alias("_n"))
-     .observe(seen, F.count_if(F.col("_n") > max_group_rows).alias("hot"))
-     .write.parquet(path))
-    summary = spark.read.parquet(path)
-
-    hot = summary.where(F.col("_n") > max_group_rows).select(
-        "url", "_b", F.ceil(F.col("_n") / max_group_rows).cast("int").alias("_s"))
-    n_hot = seen.get["hot"] or 0
-    if n_hot:
-        hot = bounded_broadcast(hot, n_hot, MAX_HOT_BROADCAST)
-        caps = (caps.join(hot, ["url", "_b"], "left")
-                .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
-                            .otherwise(F.pmod(F.xxhash64("_id"), F.col("_s"))).cast("int")).drop("_s"))
-        reqs = (reqs.join(hot, ["url", "_b"], "left")
-                .withColumn("_hot", F.col("_s").isNotNull())
-                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s"))
-    else:
-        caps = caps.withColumn("_salt", F.lit(0))
-        reqs = reqs.withColumn("_hot", F.lit(False)).withColumn("_salt", F.lit(0))
-
-    both = caps.select("url", "_b", "_salt", "_ms", F.lit(0).alias("_kind"), "_id", "_cap",
-                       F.lit(None).cast(req_type).alias("_req"), F.lit(None).cast("bigint").alias("_rk"),
-                       F.lit(None).cast("boolean").alias("_hot")).unionByName(
-        reqs.select("url", "_b", "_salt", "_ms", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_id"),
-                    F.lit(None).cast(cap_type).alias("_cap"), "_req", "_rk", "_hot"))
-    part = Window.partitionBy("url", "_b", "_salt")
+    caps = df.select("url", F.unix_millis("date").alias("_ms"), F.lit(0).alias("_kind"), F.xxhash64("id").alias("_tie"), F.col("id").alias("_id"), cap_struct.alias("_cap"))
+    reqs = requests.select("url", F.unix_millis(t_col).alias("_ms"), F.lit(1).alias("_kind"), F.xxhash64(*req_cols).alias("_tie"),
+                           F.struct(*req_cols).alias("_req"))
+    place = ["url", "_ms", "_kind", "_tie"]
+    borders = _range_borders(caps.select(*place).unionByName(reqs.select(*place)), max_group_rows)
+    in_range = place_among(F.struct(*place), borders, _PLACE).alias("_b")
+    caps, reqs = caps.select("*", in_range), reqs.select("*", in_range)
+
+    both = caps.select("url", "_b", "_ms", "_kind", "_id", "_cap").unionByName(reqs.select("url", "_b", "_ms", "_kind", "_req"), allowMissingColumns=True)
+    part = Window.partitionBy("url", "_b")
     # Both are running frames (unbounded preceding .. previous row), which Spark evaluates in one pass;
     # a frame reaching to unbounded following would be recomputed for every row.
     # last capture at or before the request: captures sort before requests at the same instant, and
@@ -299,42 +277,17 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
     # smallest id comes last among captures of one instant
     w_next = (part.orderBy(F.col("_ms").desc(), F.col("_kind").desc(), F.col("_id").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    win = both.select("url", "_b", "_ms", "_kind", "_req", "_rk", "_hot",
-                      F.last("_cap", ignorenulls=True).over(w_prev).alias("_prev"),
-                      F.last("_cap", ignorenulls=True).over(w_next).alias("_next")).where(F.col("_kind") == 1)
-    cols = ["url", "_b", "_ms", "_req", "_prev", "_next"]
-    if n_hot:
-        # a split bucket's request has one partial answer per salt: keep the latest earlier capture
-        # (smallest id on ties) and the earliest later one
-        prev_key = F.when(F.col("_prev").isNotNull(), F.struct(-F.col("_prev.ms"), F.col("_prev.id")))
-        next_key = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next.ms"), F.col("_next.id")))
-        merged = (win.where(F.col("_hot")).groupBy("_rk", "url", "_b", "_ms")
-                  .agg(F.first("_req").alias("_req"), F.min_by("_prev", prev_key).alias("_prev"),
-                       F.min_by("_next", next_key).alias("_next")))
-        in_bucket = win.where(~F.col("_hot")).select(*cols).unionByName(merged.select(*cols))
-    else:
-        in_bucket = win.select(*cols)
-
-    # for every bucket holding requests, the nearest non-empty bucket on each side
-    req_buckets = requests.select("url", F.floor(F.unix_millis(t_col) / F.lit(b_ms)).alias("_b")).distinct()
-    keyed = summary.join(req_buckets.withColumn("_q", F.lit(True)), ["url", "_b"], "full_outer")
-    # one row per (url, bucket) after the outer join, so "preceding rows" are the earlier buckets
-    earlier = Window.partitionBy("url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("url").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    fallback = keyed.select(
-        "url", "_b", "_q",
-        F.last("_last", ignorenulls=True).over(earlier).alias("_fprev"),
-        F.last("_first", ignorenulls=True).over(later).alias("_fnext"),
-    ).where(F.col("_q"))
-
-    j = in_bucket.join(fallback, ["url", "_b"], "left")
-    prev = F.coalesce("_prev", "_fprev")
-    nxt = F.coalesce("_next", "_fnext")
+    found = both.select("url", "_b", "_ms", "_kind", "_req",
+                        F.last("_cap", ignorenulls=True).over(w_prev).alias("_prev"),
+                        F.last("_cap", ignorenulls=True).over(w_next).alias("_next")).where(F.col("_kind") == 1)
+    if borders:
+        found = _carried(found, caps, reqs)
+    prev, nxt = F.col("_prev"), F.col("_next")
     d_prev = F.col("_ms") - prev["ms"]
     d_next = nxt["ms"] - F.col("_ms")
     best = (F.when(prev.isNull(), nxt).when(nxt.isNull(), prev)
             .when(d_prev <= d_next, prev).otherwise(nxt))
-    out = j.select("_req", "_ms", best.alias("_best"))
+    out = found.select("_req", "_ms", best.alias("_best"))
     if not keep_unmatched:
         out = out.where(F.col("_best").isNotNull())
     return out.select(*[F.col(f"_req.{c}").alias(c) for c in req_cols],
@@ -342,6 +295,28 @@ def _closest_by_window(requests: DataFrame, df: DataFrame, t_col: str, payload:
                       F.abs(F.col("_ms") - F.col("_best.ms")).alias("distance_ms"))
 
 
+def _carried(found: DataFrame, caps: DataFrame, reqs: DataFrame) -> DataFrame:
+    """``found`` with what lies beyond the borders of a request's range: the nearest capture of the URL's earlier and later ranges
+    (an instant may lie on both sides of a border, so the smaller id is taken again)."""
+    late, early = (lambda c: F.struct(-c["ms"], c["id"])), (lambda c: F.struct(c["ms"], c["id"]))
+    cap = F.col("_cap")
+    ends = caps.groupBy("url", "_b").agg(F.min_by("_cap", early(cap)).alias("_first"), F.min_by("_cap", late(cap)).alias("_last"))
+    keyed = ends.join(reqs.select("url", "_b").distinct().withColumn("_q", F.lit(True)), ["url", "_b"], "full_outer")
+    # one row per URL and range; min_by skips rows whose order is null, so ranges without captures carry nothing
+    before = Window.partitionBy("url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("url").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    has = lambda c, order: F.when(F.col(c).isNotNull(), order(F.col(c)))
+    beyond = keyed.select("url", "_b", "_q", F.min_by("_last", has("_last", late)).over(before).alias("_before"),
+                          F.min_by("_first", has("_first", early)).over(behind).alias("_behind")).where(F.col("_q")).drop("_q")
+
+    def nearer(a: str, b: str, order) -> Column:
+        return F.when(F.col(a).isNull() | (order(F.col(b)) < order(F.col(a))), F.col(b)).otherwise(F.col(a))
+
+    return found.join(beyond, ["url", "_b"], "left").select(
+        "url", "_b", "_ms", "_req", F.when(F.col("_before").isNull(), F.col("_prev")).otherwise(nearer("_prev", "_before", late)).alias("_prev"),
+        F.when(F.col("_behind").isNull(), F.col("_next")).otherwise(nearer("_next", "_behind", early)).alias("_next"))
+
+
 def lookup_many(requests: DataFrame, df: DataFrame, *, on: str = "url", decode_url: bool = False) -> DataFrame:
     """Captures of many requested keys at once: a semi join, so each capture appears once however many
     requests name it (no request x capture pairs). Small request sets are broadcast by AQE from their

@@ -43,17 +43,18 @@ def brute_closest(caps, reqs):
     return best
 
 
-@pytest.mark.parametrize("bucket,max_rows", [(3600, 2_000_000), (86400, 2_000_000), (10 * 86400, 2_000_000),
-                                             (10 * 86400, 7), (86400, 3)])
-def test_closest_window_matches_brute_force(spark, bucket, max_rows):
+@pytest.mark.parametrize("seed,max_rows", [(3600, 2_000_000), (86400, 400), (7, 100), (8, 7), (9, 3)])
+def test_closest_scan_matches_brute_force(spark, seed, max_rows):
     urls = [f"com,ex)/{i}" for i in range(6)]
-    caps = random_captures(400, urls, seed=bucket, hot=urls[0])
+    caps = random_captures(400, urls, seed=seed, hot=urls[0])
     rnd = random.Random(1)
     reqs = [(k, rnd.choice(urls + ["com,none)/"]), T0 + dt.timedelta(seconds=rnd.randrange(-86400 * 5, 86400 * 50, 1800)))
             for k in range(300)]
     reqs += [(1000 + k, c[0], c[1]) for k, c in enumerate(caps[:30])]  # exact hits
+    caps += [(urls[1], T0, f"same{k:03d}", None) for k in range(40)]  # an instant with many captures and requests
+    reqs += [(2000 + k, urls[1], T0) for k in range(40)]
     got = lookup.closest(spark.createDataFrame(reqs, "rid long, url string, t timestamp"), caps_df(spark, caps),
-                         bucket_seconds=bucket, max_group_rows=max_rows).collect()
+                         max_group_rows=max_rows).collect()
     got = {r.rid: (r.date, r.id, r.distance_ms) for r in got}
     assert got == brute_closest(caps, reqs)
 
@@ -311,8 +312,8 @@ def test_scale_plan_shapes(spark, tmp_path):
     reqs = caps.select(F.col("id").alias("rid"), "url", F.col("date").alias("t"))
     import re
     plan = re.sub(r"#\d+L?", "", physical_plan(lookup.closest(reqs, caps), "simple"))
-    # the only exchange carrying every capture and request is the (url, bucket, salt) one
-    assert plan.count("hashpartitioning(url, _b, _salt") == 1
+    # the only exchange carrying every capture and request is the (url, range) one
+    assert plan.count("hashpartitioning(url, _b") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     batch = caps.limit(5)
     plan = physical_plan(store.upsert(caps, batch), "simple")
@@ -443,3 +444,19 @@ def test_closest_reads_only_the_requested_urls(spark):
     assert "LeftSemi" in physical_plan(out)
     want = lookup.closest_capture(caps, "b", T0).first()
     assert [(r.id, r.distance_ms) for r in out.collect()] == [(want.id, want.distance_ms)]
+
+
+def test_closest_spreads_hot_requests_over_tasks(spark):
+    n = 3000
+    reqs = spark.range(n).select(F.col("id").alias("rid"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("url"),
+                                 F.timestamp_seconds(F.when(F.col("id") % 6 == 0, F.lit(1_700_000_000)).otherwise(F.col("id") + 1_700_000_000)).alias("t"))
+    caps = spark.range(60).select(F.when(F.col("id") < 10, "hot").otherwise(F.concat(F.lit("u"), F.col("id") - 10)).alias("url"),
+                                  F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 100).alias("date"), F.col("id").cast("string").alias("id"))
+    out = lookup.closest(reqs, caps, max_group_rows=200)
+    assert out.count() == n
+    plan = physical_plan(out, "simple")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    places = reqs.select("url", F.unix_millis("t").alias("_ms"), F.lit(1).alias("_kind"), F.xxhash64(*reqs.columns).alias("_tie"))
+    borders = lookup._range_borders(places, 200)
+    sizes = [r["count"] for r in places.select(lookup.place_among(F.struct("url", "_ms", "_kind", "_tie"), borders, lookup._PLACE).alias("b")).groupBy("b").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 200 and len(sizes) >= 15
