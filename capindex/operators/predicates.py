@@ -46,6 +46,27 @@ def like_escape(s: str) -> str:
     return re.sub(r"([%_\\])", r"\\\1", s)
 
 
+def wildcard_like(pattern: str) -> str:
+    """A wildcard pattern as a ``LIKE`` pattern: ``*`` is any text, ``?`` any one character, a backslash makes the next
+    character literal, and everything else (``%`` and ``_`` too) stands for itself."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            i += 1
+            out.append(like_escape(pattern[i]))
+        else:
+            out.append({"*": "%", "?": "_"}.get(ch) or like_escape(ch))
+        i += 1
+    return "".join(out)
+
+
+def wildcard_prefix(pattern: str) -> str:
+    """The literal text before a pattern's first wildcard."""
+    found = re.match(r"(?:[^*?\\]|\\.|\\$)*", pattern, re.DOTALL).group()
+    return re.sub(r"\\(.)", r"\1", found, flags=re.DOTALL)
+
+
 def _eq_or_in(col: str, v) -> Column:
     if isinstance(v, (list, tuple, set, frozenset)):
         return F.col(col).isin(*list(v))
@@ -55,7 +76,7 @@ def _eq_or_in(col: str, v) -> Column:
 def match_condition(*, ourl=None, url=None, at=None, start=None, end=None, partial: str | None = None,
                     domain=None, url_prefix: str | None = None, under_domain: str | None = None,
                     path_prefix: str | None = None, include_root: bool = False,
-                    url_regex: str | None = None, mime=None, arc=None, scheme: str | None = None,
+                    url_regex: str | None = None, url_wildcard: str | None = None, mime=None, arc=None, scheme: str | None = None,
                     response=None, missing: Iterable[str] = (), present: Iterable[str] = ()) -> Column | None:
     """The ANDed condition, or None when nothing is given.
 
@@ -67,7 +88,8 @@ def match_condition(*, ourl=None, url=None, at=None, start=None, end=None, parti
       ``under_domain`` + ``path_prefix``: every subdomain of a SURT domain (``com,example``) whose path
       starts with the prefix; the root domain itself only with ``include_root``.
     - ``url_regex``: whole-value regular expression on ``url`` (its literal prefix is added as a
-      pushable ``startswith``).
+      pushable ``startswith``); ``url_wildcard``: whole-value pattern with ``*`` and ``?`` (see :func:`wildcard_like`), its
+      literal prefix added likewise.
     - ``mime``, ``arc``, ``response``: exact values; ``scheme``: scheme of the original URL.
     - ``missing`` / ``present``: columns that must be null / not null.
     """
@@ -100,6 +122,11 @@ def match_condition(*, ourl=None, url=None, at=None, start=None, end=None, parti
         if lit_prefix:
             conds.append(F.col("url").startswith(lit_prefix))
         conds.append(F.col("url").rlike(f"^(?:{url_regex})$"))
+    if url_wildcard is not None:
+        prefix = wildcard_prefix(url_wildcard)
+        if prefix:
+            conds.append(F.col("url").startswith(prefix))
+        conds.append(F.col("url").like(wildcard_like(url_wildcard)))
     if mime is not None:
         conds.append(_eq_or_in("mime", mime))
     if arc is not None:

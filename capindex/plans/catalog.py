@@ -17,6 +17,7 @@ from ..functions.surt import surt
 from ..functions.time import date_math, instant, partial_range, ts14
 from ..operators import facets, lookup
 from ..operators.predicates import match
+from ..schema import DEFAULT_ORDER
 from ..sources import adapter as A
 from ..sources import cdx, csvio, store
 
@@ -183,6 +184,42 @@ def q_regex_lookup(spark, sf_dir, caps=None):
     return match(caps, url_regex=URL_REGEX).select("url", ts14("date").alias("ts14"), "id")
 
 
+@register("wildcard_lookup", W(r"""
+SELECT url, ts14, id FROM captures WHERE url LIKE 'com,example,%)/e_/%?utm\_source=%' ESCAPE '\'"""))
+def q_wildcard_lookup(spark, sf_dir, caps=None):
+    """Wildcards beside characters that patterns of either kind give a meaning (``?``, ``_``)."""
+    caps = _caps(spark, sf_dir, caps)
+    return match(caps, url_wildcard=r"com,example,*)/e?/*\?utm_source=*").select("url", ts14("date").alias("ts14"), "id")
+
+
+@register("sort_nullable", W("""
+, up AS (SELECT 'up' AS way, row_number() OVER (ORDER BY mime ASC NULLS LAST, response ASC NULLS LAST, url, epoch_s, id) AS place, * FROM captures)
+, down AS (SELECT 'down' AS way, row_number() OVER (ORDER BY mime DESC NULLS LAST, response DESC NULLS LAST, url, epoch_s, id) AS place, * FROM captures)
+SELECT way, mime, response, id FROM (SELECT * FROM up UNION ALL SELECT * FROM down) WHERE place > 20 AND place <= 320"""))
+def q_sort_nullable(spark, sf_dir, caps=None):
+    """Pages in the order of columns with missing values, which come last in either direction."""
+    caps = _caps(spark, sf_dir, caps)
+    page = {way: lookup.search(caps, columns=("mime", "response", "id"), limit=300, offset=20, order=(f"{sign}mime", f"{sign}response", *DEFAULT_ORDER))
+            .withColumn("way", F.lit(way)) for way, sign in (("up", ""), ("down", "-"))}
+    return page["up"].unionByName(page["down"])
+
+
+REQUIRED_GAP = 71  # events whose lines get no original URL
+
+
+@register("reject_required", W(f"""
+SELECT CASE WHEN event_id % 97 = 0 THEN 'column_count' WHEN event_id % 89 = 0 THEN 'bad_response'
+            WHEN event_id % 83 = 0 THEN 'bad_offset' WHEN event_id % 79 = 0 THEN 'bad_timestamp'
+            WHEN event_id % {REQUIRED_GAP} = 0 THEN 'missing_required' ELSE 'accepted' END AS status, count(*) AS n
+FROM captures GROUP BY 1"""))
+def q_reject_required(spark, sf_dir, caps=None):
+    """As ``reject_summary``, with lines that lack a required field."""
+    lines = A.cdx_lines(_caps(spark, sf_dir, caps))
+    t = F.split("value", " ")
+    gap = F.concat_ws(" ", F.slice(t, 1, 2), F.lit("-"), F.slice(t, F.lit(4), F.size(t)))
+    return cdx.reject_summary(cdx.parse_cdx(lines.select("line_mid", F.when(F.col("event_id") % REQUIRED_GAP == 0, gap).otherwise(F.col("value")).alias("value"))))
+
+
 @register("mime_lookup", W("""
 SELECT id, url, ts14 FROM captures WHERE mime = 'text/html'"""))
 def q_mime_lookup(spark, sf_dir, caps=None):
