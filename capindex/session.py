@@ -97,3 +97,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+_SCRATCH = re.compile(r".+-[0-9a-f]{12}$")
+
+
+def clean_scratch(spark: SparkSession, older_than_seconds: float = 7 * 86400) -> list[str]:
+    """Remove scratch tables (see :func:`scratch_path`) of the shared folder that have not changed for that long, and return
+    them. A result that still reads one must not be that old; other folders stay."""
+    from .sources import files
+    root = shared_dir(spark)
+    found = [f"{root}/{n}" for n in files.names(spark, root) if _SCRATCH.match(n)]
+    gone = sorted(p for p in found if files.age_seconds(spark, p) >= older_than_seconds)
+    for p in gone:
+        files.delete(spark, p)
+    return gone
