@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,15 @@ from capindex.llm.common import broadcast_if_small, stage
 LENGTH = 4096
 END_ID = 2
 DIMS, ORDER, BUCKETS = 3, 10, 1024
-_WORDS, _STEMS, _LONGEST = 700_000, 900_000, 64
+#: Bytes of text that are tokenized together (or one longer text).
+CHUNK_BYTES = 8 << 20
+#: Words whose ids a worker remembers: of those that were not alone in their chunk, and up to so many letters.
+_KEPT_WORDS, _KEPT_LETTERS = 300_000, 32
 
 
 class WordTokens:
-    """Token ids of whole texts, through a bounded cache of words.
+    """Token ids of whole texts, each different word of a chunk encoded once. Only the ids of a bounded number of words (some
+    60 MB) are kept from one chunk to the next: words that were seen twice, as most others do not come again.
 
     The tokenizer's pattern never joins characters across white space, and a run of letters never joins the mark after
     it, so the ids of a text are those of its words in order. Words are cut at ASCII white space only.
@@ -46,26 +51,27 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        vocabulary_ids = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary_ids.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary_ids.items() if token.endswith("</w>")]] = True
+        self.kept: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _encode_letters(self, stems: list[bytes]) -> list[bytes]:
         """Runs of letters are one word each to the tokenizer, so that many are encoded as one text and told apart by the
-        number of the word; where a letter's lower case is no letter, that fails and they are encoded one by one."""
+        tokens that end a word; where a letter's lower case is no letter, their number differs and they are encoded one by one."""
         out: list[bytes] = []
         for at in range(0, len(stems), 2000):
             part = stems[at : at + 2000]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            word = np.array(found.word_ids, dtype=np.int64)
-            if not len(word) or word[-1] != len(part) - 1 or len(np.unique(word)) != len(part):
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(part) or ends[-1] != len(ids) - 1:
                 out += self._encode(part)
                 continue
-            raw, size = np.array(found.ids, dtype=self.dtype).tobytes(), self.dtype.itemsize
-            ends = (np.searchsorted(word, np.arange(len(part)), side="right") * size).tolist()
+            raw, ends = ids.tobytes(), ((ends + 1) * self.dtype.itemsize).tolist()
             out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
@@ -82,29 +88,38 @@ class WordTokens:
             return stem, mark, True
         return word, b"", False
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [_lowered((t or "").encode()).split() for t in texts]
-        if len(self.words) > _WORDS:
-            self.words = {}
-        if len(self.stems) > _STEMS:
-            self.stems = {}
-        known, stems = self.words, self.stems
-        new = set()
-        for ws in split:
-            new.update(ws)
-        new.difference_update(known)
-        parts = {w: self._split(w) for w in new}
-        letters = list({a for a, _, run in parts.values() if run and a not in stems})
-        stems.update(zip(letters, self._encode_letters(letters), strict=True))
-        others = list({p for a, b, run in parts.values() for p in ((b,) if run else (a,)) if p and p not in stems})
-        stems.update(zip(others, self._encode(others), strict=True))
-        stems[b""] = b""
-        known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b, _) in parts.items())
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in [w for w in new if len(w) > _LONGEST]:
-            del known[w]
-            stems.pop(parts[w][0], None)
-        return out
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes."""
+        parts = [self._split(w) if w else (b"", b"", True) for w in words]
+        letters = list({a for a, _, run in parts if run and a})
+        known = dict(zip(letters, self._encode_letters(letters), strict=True))
+        others = list({p for a, b, run in parts for p in ((b,) if run else (a,)) if p} - known.keys())
+        known.update(zip(others, self._encode(others), strict=True))
+        known[b""] = b""
+        return [known[a] + known[b] if b else known[a] for a, b, _ in parts]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        lowered = pa.array([_lowered((t or "").encode()) for t in texts], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        blobs = list(map(self.kept.get, words))
+        new = [i for i, b in enumerate(blobs) if b is None]
+        often = (np.bincount(code, minlength=len(words)) > 1).tolist()
+        for i, b in zip(new, self._of_words([words[i] for i in new]), strict=True):
+            blobs[i] = b
+            if often[i] and len(self.kept) < _KEPT_WORDS and len(words[i]) <= _KEPT_LETTERS:
+                self.kept[words[i]] = b
+        flat = np.frombuffer(b"".join(blobs), dtype=self.dtype)
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        each = size[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        # the ids of the words one after the other: place in the list of different words' ids
+        ids = flat[np.repeat(first[code] - ends[:-1], each) + np.arange(ends[-1])] if len(flat) else flat
+        of_text = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+        return [ids[i:j] for i, j in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
 
 
 def _lowered(text: bytes) -> bytes:
@@ -116,7 +131,7 @@ _LOADED: dict[int, WordTokens] = {}
 
 
 def _tokens_of(vocabulary: str) -> WordTokens:
-    """The worker's cache, kept from one task to the next."""
+    """The worker's tokenizer, kept from one task to the next."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _LOADED:
         _LOADED.clear()
@@ -171,16 +186,17 @@ def _tokenize(vocabulary):
 
     def run(batches: Iterator[pa.RecordBatch]):
         words, projection = _tokens_of(vocabulary.value), _projection()
-        end = np.array([END_ID], dtype=words.dtype).tobytes()
+        end = np.array([END_ID], dtype=words.dtype)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                ids = [x + end for x in words.ids(b.column("text").to_pylist())]
-                size = words.dtype.itemsize
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            chunk = np.cumsum(size) // CHUNK_BYTES
+            for at in np.flatnonzero(np.diff(chunk, prepend=-1)).tolist():
+                b = batch.slice(at, int(np.searchsorted(chunk, chunk[at], side="right")) - at)
+                ids = [np.concatenate([x, end]) for x in words.ids(b.column("text").to_pylist())]
+                places = [curve_places(ids[i : i + 512], projection) for i in range(0, len(ids), 512)]
                 yield pa.RecordBatch.from_arrays([
-                    b.column("row"), b.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()),
-                    pa.array(curve_places([np.frombuffer(x, dtype=words.dtype) for x in ids], projection)),
-                    pa.array(ids, pa.binary())], schema=schema)
+                    b.column("row"), b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array(np.concatenate(places)), pa.array([x.tobytes() for x in ids], pa.binary())], schema=schema)
 
     return run
 
