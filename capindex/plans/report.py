@@ -20,7 +20,7 @@ SHOWN = {
     "facet_arc_zero": "zero counts in one aggregation pass (count_if), no join against distinct values",
     "first_per_digest": "first capture per (url, digest) as a map-side combined min over a struct",
     "upsert_overlap": "new rows reduced per key; the old side streams through a broadcast anti join",
-    "closest_bulk": "one exchange of captures + requests by (url, bucket, salt); the rest moves per-bucket rows",
+    "closest_bulk": "one exchange of captures + requests by (url, range); up to one range nothing is carried across borders",
     "offset_page": "global order + offset + limit as one TakeOrderedAndProject",
 }
 
