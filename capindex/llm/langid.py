@@ -5,10 +5,12 @@ mask of all languages that contain it. For each language the set bits over a tex
 false positives (fill share to the power of ``PROBES``); n-grams of every language count for none. The language with the
 largest corrected share decides.
 
-Learning: per language, n-grams that occur in at least ``MIN_SHARE`` of its documents, at most ``MAX_GRAMS``, from a sample of
-about ``SAMPLE`` documents per language, chosen by a hash of the id. These parameters bound the model, which is a few MB
-and is the only thing that reaches the driver. Prediction is one pass without a shuffle, a text at a time, in slices of
-``SLICE`` characters, so that very long texts need little memory.
+Learning: per language, the n-grams that occur in at least ``MIN_SHARE`` of its documents, from a sample of about ``SAMPLE``
+documents per language, chosen by a hash of the id. A language has at most (mean different n-grams of a document) /
+``MIN_SHARE`` of them, whatever the size of the corpus; they are the only thing that reaches the driver, and the filter
+grows with them until a language's false positives stay below ``WRONG``. Texts are never shuffled: documents per language
+are counted first, the few counts are joined with the scan, and a task sends on its counts of n-grams. Prediction is one
+pass without a shuffle, a text at a time, in slices of ``SLICE`` characters, so that very long texts need little memory.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capindex.llm.common import broadcast_if_small, stage
+
 N = 4
 PROBES = 3
 SAMPLE = 3000
 MIN_SHARE = 0.01
-MAX_GRAMS = 40_000
+#: Share of the unknown n-grams that a language's filter may take for known ones.
+WRONG = 0.01
 SLICE = 1 << 19
 SAMPLE_STEPS = 1_000_000
 _OTHER = re.compile(r"[\W\d_]+")
@@ -95,9 +100,11 @@ def places(h: np.ndarray, size: int):
 
 
 def build(grams: dict[str, np.ndarray], usual: str = "und") -> Model:
-    """The filter of each language's n-gram hashes; 16 places or more per n-gram of the largest language."""
+    """The filter of each language's n-gram hashes. With n of them a share of ``PROBES`` * n / size of the places is set, at
+    most, so the size follows from ``WRONG``; it is a power of two."""
     languages = sorted(grams)
-    size = 1 << max(12, int(16 * max((len(g) for g in grams.values()), default=1)).bit_length())
+    largest = max((len(g) for g in grams.values()), default=1)
+    size = 1 << max(12, int(PROBES * largest / WRONG ** (1 / PROBES)).bit_length())
     bits = np.zeros((size, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     wrong = np.zeros(len(languages))
     for i, lang in enumerate(languages):
@@ -109,33 +116,50 @@ def build(grams: dict[str, np.ndarray], usual: str = "und") -> Model:
 
 
 def _distinct(batches):
-    """(lang, gram) of each document once, counted per batch."""
+    """(lang, gram, documents with it), counted per batch; a null gram counts the documents."""
     for b in batches:
+        docs: dict[str, int] = {}
         seen: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            docs[lang] = docs.get(lang, 0) + 1
             if has_letter(text):
                 seen.setdefault(lang, []).append(np.unique(np.concatenate(list(gram_hashes(text)))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.nulls(len(docs), pa.int64()),
+                                          pa.array(list(docs.values()), pa.int64())], names=["lang", "gram", "k"])
         for lang, arrays in seen.items():
             g, k = np.unique(np.concatenate(arrays), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(k)], names=["lang", "gram", "k"])
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from rows with a text and a language; others are left out. No such rows: a model without languages."""
+def gram_counts(rows: DataFrame, count: DataFrame) -> DataFrame:
+    """(lang, gram, k) over a sample of ``rows`` (key, text, lang); a null gram counts the documents.
+
+    ``count`` has the rows of each language. It is joined with the scan, and is small: a model has a bit row per language."""
+    part = F.pmod(F.xxhash64("key"), F.lit(SAMPLE_STEPS)) < F.lit(SAMPLE_STEPS * SAMPLE) / F.col("all")
+    sample = rows.join(broadcast_if_small(count, 64), "lang").where(part)
+    return sample.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint, k bigint").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
+
+
+def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[dict[str, np.ndarray], str]:
+    """The common n-grams of each language, sorted, and the language of most documents (ties: the last by name)."""
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"),
                            F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null and key is not null")
-    count = rows.groupBy("lang").agg(F.count("*").alias("all"))
-    part = F.pmod(F.xxhash64("key"), F.lit(SAMPLE_STEPS)) < F.lit(SAMPLE_STEPS * SAMPLE) / F.col("all")
-    sample = rows.join(count, "lang").where(part)
-    docs = sample.groupBy("lang").agg(F.count("*").alias("docs"))
-    grams = sample.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint, k bigint").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
-    often = grams.join(docs, "lang").where(F.col("k") >= F.greatest(F.lit(2), F.col("docs") * MIN_SHARE))
-    top = often.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "gram"))).where(F.col("r") <= MAX_GRAMS)
+    count = stage(rows.groupBy("lang").agg(F.count("*").alias("all")), "langid-counts")
+    counts = stage(gram_counts(rows, count), "langid-grams")
+    docs = counts.where("gram is null").select("lang", F.col("k").alias("docs"))
+    often = counts.where("gram is not null").join(broadcast_if_small(docs, 64), "lang").where(
+        F.col("k") >= F.greatest(F.lit(2), F.col("docs") * MIN_SHARE))
+    found = often.select("lang", "gram").toArrow()
+    names = np.array(found.column("lang").to_pylist(), dtype=object)
+    hashes = found.column("gram").to_numpy().view(np.uint64)
     # A language that is too rare for a common n-gram is still a learned one.
-    found = top.groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-    learned = count.join(docs, "lang").join(found, "lang", "left").select("lang", "all", "grams").collect()
-    usual = max(((r["all"], r["lang"]) for r in learned), default=(0, "und"))[1]
-    return build({r["lang"]: np.array(r["grams"] or [], dtype=np.int64).view(np.uint64) for r in learned}, usual)
+    total = {r["lang"]: r["all"] for r in count.join(broadcast_if_small(docs, 64), "lang", "left_semi").collect()}
+    return {k: np.sort(hashes[names == k]) for k in total}, max(((n, k) for k, n in total.items()), default=(0, "und"))[1]
+
+
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Learn from rows with a text and a language; others are left out. No such rows: a model without languages."""
+    return build(*learn(labelled, key, text, lang))
 
 
 def identify(documents: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,8 +1,15 @@
 import binascii
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from capindex.llm.langid import identify, language_report, train
+from capindex.llm.langid import (
+    MIN_SHARE, WRONG, N, build, gram_counts, gram_hashes, has_letter, held_out, identify, language_report, learn, train)
+from capindex.plans.guards import physical_plan
+
+PRIMES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
 def out(i):
@@ -44,3 +51,66 @@ def test_many_languages(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in identify(df, train(df)).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
+
+
+def grams_of(text):
+    """4-grams of lower-case letters, words apart by one blank, as plain strings."""
+    part = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + "  "
+    return {part[i : i + N] for i in range(len(part) - N + 1)}
+
+
+def test_learned_grams_and_popcounts_equal_exact_sets(small_docs):
+    """Brute force over plain sets: the learned n-grams, what the filter says of each n-gram, and the predictions."""
+    rows = [r for r in small_docs.collect() if r.text and not out(r.doc_id) and r.lang]
+    of, docs = defaultdict(Counter), Counter(r.lang for r in rows)
+    for r in rows:
+        if has_letter(r.text):
+            of[r.lang].update(grams_of(r.text))
+    want = {lang: {g for g, k in of[lang].items() if k >= max(2, docs[lang] * MIN_SHARE)} for lang in docs}
+    found, usual = learn(small_docs.where(~held_out(F.col("doc_id"))))
+    assert usual == max((n, k) for k, n in docs.items())[1]
+    plain = {lang: {hash_of(g) for g in want[lang]} for lang in want}
+    assert {lang: set(map(int, g)) for lang, g in found.items()} == plain
+    model = build(found, usual)
+    assert all(w <= WRONG for w in model.wrong)
+    names, same, judged, wrong, asked = model.languages, 0, 0, 0, 0
+    for r in small_docs.collect():
+        if not has_letter(r.text):
+            continue
+        h = np.concatenate(list(gram_hashes(r.text)))
+        m = model.masks(h)[:, 0]
+        exact = np.array([[int(x) in plain[k] for k in names] for x in h])
+        bits = np.array([[bool(int(x) >> i & 1) for i in range(len(names))] for x in m])
+        assert (bits | ~exact).all()  # no n-gram is missed
+        wrong, asked = wrong + int((bits & ~exact).sum()), asked + int((~exact).sum())
+        hits = exact[exact.sum(axis=1) < len(names)].sum(axis=0)
+        if sorted(hits)[-1] >= sorted(hits)[-2] + 5:
+            judged += 1
+            same += model.predict(r.text)[0] == names[int(np.argmax(hits))]
+    assert wrong <= 2 * WRONG * asked and judged > 100 and same >= 0.99 * judged
+
+
+def hash_of(gram):
+    """The hash of one n-gram, computed with plain integers."""
+    h = ord(gram[0]) * PRIMES[0] % 2**64
+    for c, p in zip(gram[1:], PRIMES[1:]):
+        h = (h ^ ord(c)) * p % 2**64
+    return h ^ (h >> 31)
+
+
+def test_texts_are_not_shuffled(spark, small_docs, tmp_path):
+    path = str(tmp_path / "rows")
+    small_docs.selectExpr("doc_id as key", "text", "lang").write.parquet(path)
+    rows = spark.read.parquet(path)
+    count = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    count.write.parquet(str(tmp_path / "count"))
+    plan = physical_plan(gram_counts(rows, spark.read.parquet(str(tmp_path / "count"))))
+    assert plan.count("MapInArrow") >= 1 and "SortMergeJoin" not in plan and "Window" not in plan
+    moved = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert moved and not any("text" in m for m in moved), moved
+
+
+def test_columns_named_like_the_own_ones(spark, small_docs):
+    more = small_docs.selectExpr("*", "1 as all", "2 as k", "'g' as gram", "3 as docs", "4 as key")
+    a = {(r.doc_id, r.lang_pred) for r in language_report(more).collect()}
+    assert a == {(r.doc_id, r.lang_pred) for r in language_report(small_docs).collect()}
