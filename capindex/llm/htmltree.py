@@ -5,6 +5,9 @@ are ignored, script, style, title and textarea are skipped whole, comments and d
 up to their end tag, which must come before the block around them ends, and without one up to the next block's start or end; math
 and object are text. Inline elements belong to the
 block around them; a line break counts as a blank.
+
+The reader takes time in proportion to the page, however its tags nest or are left open: tags are sought up to the last
+``>`` only, open blocks are found by name, and an end that is not there is sought once.
 """
 
 from __future__ import annotations
@@ -46,11 +49,57 @@ class Tree:
         self.runs: list[tuple[int, str, int]] = []
 
 
-def _raw_end(html: str, tag: str, at: int) -> int:
-    """Just after the end tag of a raw element; without one, the rest of the page belongs to it, but for ``head``, which
-    the body ends."""
-    m = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(html, at)
-    return m.end() if m else at if tag == "head" else len(html)
+class _Tokens:
+    """Tags of a page in order, without those in raw elements. ``tail`` is where the text after the last token ends."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at, self.last = html, 0, html.rfind(">") + 1
+        open_comment = html.find("<!--", self.last)
+        self.tail = len(html) if open_comment < 0 else open_comment
+        self.no_end: set[str] = set()
+
+    def __iter__(self):
+        """(start, match) of each token; ``at`` is its end, and may be moved on by the reader."""
+        while m := _TOKEN.search(self.html, self.at, self.last):
+            self.at = m.end()
+            if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+                self.at = self.tail = len(self.html)  # a comment without an end
+            yield m.start(), m
+
+    def skip(self, tag: str) -> None:
+        """Go on after the end tag of a raw element; without one, the rest of the page belongs to it, but for ``head``, which
+        the body ends."""
+        m = None
+        if tag not in self.no_end:
+            m = re.compile(rf"</{tag}\s*+>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(self.html, self.at)
+        if m:
+            self.at = m.end()
+        elif tag == "head":
+            self.no_end.add(tag)
+        else:
+            self.at = self.tail = len(self.html)
+
+
+class _Open:
+    """The stack of open blocks: numbers, and for each name the places on the stack where it is."""
+
+    def __init__(self) -> None:
+        self.blocks, self.tags, self.places = [0], ["#root"], {}
+
+    def push(self, block: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.blocks))
+        self.blocks.append(block)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Close all blocks from this place on."""
+        while len(self.blocks) > place:
+            self.places[self.tags.pop()].pop()
+            self.blocks.pop()
+
+    def place(self, tags) -> int:
+        """The innermost place of one of these tags; 0 if none is open."""
+        return max((self.places[x][-1] for x in tags if self.places.get(x)), default=0)
 
 
 def _aside_ends(html: str) -> dict[int, int]:
@@ -59,14 +108,13 @@ def _aside_ends(html: str) -> dict[int, int]:
     stack: list[tuple[str, int]] = []
     opened: dict[str, int] = {}
     last: dict[str, int] = {}
-    at = 0
-    while m := _TOKEN.search(html, at):
-        at = m.end()
+    tokens = _Tokens(html)
+    for begin, m in tokens:
         name = m[2] or m[5]
         tag, end = (name or "").lower(), bool(m[1] or m[4])
         if tag in RAW:
             if not end and not (m[3] or m[6] or "").endswith("/"):
-                at = _raw_end(html, tag, at)
+                tokens.skip(tag)
         elif tag in VOID or tag not in BLOCKS and tag not in ASIDE:
             continue
         elif end:
@@ -75,21 +123,21 @@ def _aside_ends(html: str) -> dict[int, int]:
                 opened[top] -= 1
                 if top == tag:
                     if tag in ASIDE:
-                        ends[start] = at
+                        ends[start] = tokens.at
                     break
         elif tag in BLOCKS or not (m[3] or m[6] or "").endswith("/"):
             if tag in ("button", "select") and opened.get(tag):  # these hold none of their kind: the open one has no end
                 stack[last[tag]] = ("", -1)
                 opened[tag], opened[""] = opened[tag] - 1, opened.get("", 0) + 1
             last[tag] = len(stack)
-            stack.append((tag, m.start()))
+            stack.append((tag, begin))
             opened[tag] = opened.get(tag, 0) + 1
     return ends
 
 
 def parse(html: str) -> Tree:
     t = Tree()
-    stack = [0]
+    stack = _Open()
     links = 0  # open links
     text: list[str] = []
     linked = 0
@@ -100,7 +148,7 @@ def parse(html: str) -> Tree:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            t.runs.append((stack[-1], whole, linked))
+            t.runs.append((stack.blocks[-1], whole, linked))
         text.clear()
         linked = 0
 
@@ -111,11 +159,11 @@ def parse(html: str) -> Tree:
         if links:
             linked += len(piece)
 
-    at = 0
-    while m := _TOKEN.search(html, at):
-        if m.start() > at and not dropped:
-            add(html[at : m.start()])
-        at = m.end()
+    tokens, at = _Tokens(html), 0
+    for begin, m in tokens:
+        if begin > at and not dropped:
+            add(html[at:begin])
+        at = tokens.at
         name = m[2] or m[5]
         if not name:
             continue
@@ -126,36 +174,32 @@ def parse(html: str) -> Tree:
             links = 0 if end else 1
         elif tag in RAW:
             if not end and not (m[3] or m[6] or "").endswith("/"):
-                at = _raw_end(html, tag, at)
+                tokens.skip(tag)
+                at = tokens.at
         elif tag in ASIDE:
             if not end and not (m[3] or m[6] or "").endswith("/"):
-                dropped = dropped or m.start() not in aside
-                at = aside.get(m.start(), at)
+                dropped = dropped or begin not in aside
+                at = tokens.at = aside.get(begin, at)
         elif tag not in BLOCKS:
             continue
         elif end:
             dropped = False
-            if any(t.tag[k] == tag for k in stack[1:]):
+            if place := stack.place((tag,)):
                 flush()
-                while t.tag[stack.pop()] != tag:
-                    pass
+                stack.cut(place)
                 links = 0
         else:
             dropped = False
             flush()
             links = 0
-            if tag in ("html", "body") and any(t.tag[k] == tag for k in stack):
+            if tag in ("html", "body") and stack.place((tag,)):
                 continue
-            closes = CLOSED_BY.get(tag)
-            if closes:
-                for k in range(len(stack) - 1, 0, -1):
-                    if t.tag[stack[k]] in closes:
-                        del stack[k:]
-                        break
-                    if t.tag[stack[k]] in HOLDS[tag]:
-                        break
-            if t.tag[stack[-1]] == "p":
-                stack.pop()
+            if tag in CLOSED_BY:
+                place = stack.place(CLOSED_BY[tag])
+                if place > stack.place(HOLDS[tag]):
+                    stack.cut(place)
+            if stack.tags[-1] == "p":
+                stack.cut(len(stack.blocks) - 1)
             if tag in VOID:
                 continue
             attrs = m[3] or m[6] or ""
@@ -164,12 +208,12 @@ def parse(html: str) -> Tree:
                 names = tuple(p for v in _NAMES.findall(attrs) for p in _PARTS.findall("".join(v).lower()))
             mark = _MARK.search(attrs) if attrs else None
             t.tag.append(tag)
-            t.parent.append(stack[-1])
+            t.parent.append(stack.blocks[-1])
             t.names.append(names)
             t.hidden.append(bool(attrs and _HIDDEN.search(attrs)))
             t.mark.append(None if mark is None else mark[1] == "1")
-            stack.append(len(t.tag) - 1)
+            stack.push(len(t.tag) - 1, tag)
     if not dropped:
-        add(html[at:])
+        add(html[at : tokens.tail])
     flush()
     return t

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -99,3 +100,20 @@ def test_odd_pages(spark, model):
     got = [r.text for r in out.collect()]
     assert got[:5] == [""] * 5 and got[5] == "One two three four five. Six seven eight."
     assert extract(df.where("false"), model).count() == 0
+
+
+def test_a_megabyte_of_odd_tags():
+    """Time in proportion to the page: a megabyte of each takes seconds at most."""
+    pages = ["<div>" * 200_000 + "</p>" * 1000, "<div></p>" * 110_000, "<head>" * 170_000, "<!" * 500_000, "<a" * 500_000,
+             "<div>" * 100_000 + "<li></li>" * 50_000, "<svg><div>" * 90_000, "<!--" * 250_000, "<button><head>" * 70_000,
+             '<a "' * 250_000, "<div>" * 100_000 + "<tr></tr>" * 90_000, "<div>" * 100_000 + "<p>x</p>" * 90_000]
+    for page in pages:
+        began = time.time()
+        assert len(parse(page).runs) <= 90_001
+        assert time.time() - began < 10, page[:40]
+
+
+def test_tags_after_the_last_end():
+    text = lambda h: [x for _, x, _ in parse(h).runs]
+    assert text("<p>a</p>b <c d") == ["a", "b <c d"] and text("<p>a<!-- b") == ["a"] and text("<p>a<!--b>c") == ["a"]
+    assert text("<script>a<p>b") == [] and text("<p>a<script>b<!--") == ["a"] and text("<!-->a<p>b") == []
