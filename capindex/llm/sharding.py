@@ -89,11 +89,16 @@ def shard(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: st
     Null keys hash as the empty string; null texts have 0 bytes. An empty table has no shards. Shards hold at most
     ``limit`` bytes unless they hold a single row.
     """
+    return _place(df, limit, key, text, key)
+
+
+def _place(df: DataFrame, limit: int, key: str, text: str, tag: str) -> DataFrame:
+    """``shard`` with the column ``tag`` of each row in place of its key."""
     if limit < 1:
         raise ValueError("limit must be at least one byte")
     body = text_or_empty(F.col(f"`{text}`"))
     rows = stage(df.select(
-        F.col(f"`{key}`").alias("key"), F.octet_length(body).cast("bigint").alias("n_bytes"), F.lit("").alias("root"),
+        F.col(f"`{tag}`").alias("key"), F.octet_length(body).cast("bigint").alias("n_bytes"), F.lit("").alias("root"),
         _bits(text_or_empty(F.col(f"`{key}`"))).alias("h"), _bits(body).alias("h1"),
         _bits(F.monotonically_increasing_id().cast("string")).alias("h2")), "shard-rows")
     done, rest = [], rows
@@ -116,11 +121,18 @@ def shard(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: st
     out = done[0].select("key", "n_bytes", "shard", "depth", "shard_bytes")
     for more in done[1:]:
         out = out.unionByName(more.select("key", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes"))
-    return out.select(F.col("key").alias(key), "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes")
+    return out.select(F.col("key").alias(tag), "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes")
 
 
 def write_shards(df: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
-    """``df`` as Parquet, one folder per shard (``shard=<bits>``), for unique keys."""
-    places = shard(df, limit, key, text).select(F.col(key).alias("__key"), F.concat(F.lit("b"), "shard").alias("shard"))
-    out = df.join(places, df[key].eqNullSafe(F.col("__key"))).drop("__key")
+    """``df`` as Parquet, one folder per shard (``shard=<bits>``), each row once, whether or not keys repeat or are null.
+
+    Rows are numbered in a staged copy and joined with their places by number. A column of the name ``shard`` is left out.
+    """
+    row = "__row"
+    while row in df.columns:
+        row += "_"
+    rows = stage(df.withColumn(row, F.monotonically_increasing_id()), "shard-numbered")
+    places = _place(rows, limit, key, text, row).select(row, F.concat(F.lit("b"), "shard").alias("shard"))
+    out = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "shard"]).join(places, row).drop(row)
     out.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -63,3 +63,14 @@ def test_empty_table_and_files(spark, tmp_path):
     assert back.count() == 50 and back.select("shard").distinct().count() >= 5
     with pytest.raises(ValueError):
         shard(df, 0)
+
+
+def test_files_hold_each_row_once(spark, tmp_path):
+    """Repeated and null keys, equal rows, and columns named like the operator's own."""
+    rows = [(k, "t" * 40, i, "s", 0) for i, k in enumerate([1, 1, 1, None, None, 2, 2, 3] * 20)] + [(5, "t", 7, "s", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __row int, shard string, n_bytes int")
+    write_shards(df, str(tmp_path / "s"), 200)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, (tuple(r) for r in back.select("doc_id", "text", "__row", "n_bytes").collect()))) == sorted(
+        map(str, ((a, b, c, e) for a, b, c, _, e in rows)))
+    assert back.select("shard").distinct().count() > 10
