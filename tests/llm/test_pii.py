@@ -1,7 +1,8 @@
 import hashlib
 import re
+import time
 
-from capindex.llm.pii import find_pii, mask_pii, pii_report
+from capindex.llm.pii import SPAN, find_pii, mask_pii, pii_report
 
 
 def luhn(d):
@@ -70,3 +71,43 @@ def test_empty_table_and_clashing_columns(spark):
     one = spark.createDataFrame([(1, "a@b.cc", 3, "r", "k")], df.schema)
     r = find_pii(one).first()
     assert (r["rank"], r["kind"], len(r["pii"])) == ("r", "k", 1)
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    """Spans of all blocks are in place, and masking puts the whole text together."""
+    text = "é x@y.zz, " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    r = pii_report(df).first()
+    assert r.n_email == 100_000 and r.base_sha256 == hashlib.sha256(brute(text).encode()).hexdigest()
+    assert mask_pii(find_pii(df)).first().text == "é [email], " * 100_000
+    assert time.time() - began < 60
+
+
+def test_masks_around_block_borders(spark):
+    sizes = [1, 2, 3, 15, 16, 17, 63, 64, 65, 127, 128, 129, 200]
+    rows = [(n, " ".join(f"{'é' * (i % 5)} a{i}@b.cc 4111111111111111" for i in range(n))) for n in sizes]
+    df = find_pii(spark.createDataFrame(rows, "doc_id int, text string"))
+    whole = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in df.collect()}
+    for r in mask_pii(df).collect():
+        text, pos, out = dict(rows)[r.doc_id], 0, []
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in whole[r.doc_id]) == brute(text)
+        for kind, start, end in whole[r.doc_id]:
+            if start < pos:
+                pos = max(pos, end)
+            else:
+                out += [text[pos:start], f"[{kind}]"]
+                pos = end
+        assert r.text == "".join(out) + text[pos:]
+
+
+def test_masks_of_spans_that_overlap(spark):
+    spans = [(0, 10), (2, 4), (3, 14), (13, 15), (15, 16), (16, 16), (20, 30), (21, 40), (38, 39), (39, 41)]
+    text = "".join(chr(97 + i % 26) for i in range(45))
+    df = spark.createDataFrame([(text, [(a, 0, "k", b, 1.0) for a, b in spans])], f"text string, pii {SPAN}")
+    pos, out = 0, []
+    for a, b in spans:
+        if a >= pos:
+            out += [text[pos:a], "[k]"]
+        pos = max(pos, b)
+    assert mask_pii(df).first().text == "".join(out) + text[pos:]
