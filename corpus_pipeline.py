@@ -15,18 +15,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from capindex.llm.common import stage, table
 from capindex.llm.decontaminate import decontaminated
 from capindex.llm.jaccard import one_of_each
 from capindex.llm.linededup import dedup_lines
 from capindex.llm.packing import packing_report
-from capindex.llm.quality import judge
+from capindex.llm.quality import good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return good(docs)
 
 
 def linededup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
