@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capindex.llm.common import BLANKS, grams, stage, text_or_empty, words_of
+from capindex.llm.common import BLANKS, broadcast_if_small, grams, stage, text_or_empty, words_of
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PCT = 10, 20
@@ -45,6 +45,8 @@ ALL = "*"
 BINS_PER_E = 32
 #: Fixed point of products of directions.
 TURN = 1 << 20
+#: Most bytes of an estimate in a join: keys, centre and inverse.
+ROW_BYTES = 512
 
 
 def _share(part: Column, whole: Column, prior: float, weight: float) -> Column:
@@ -186,7 +188,7 @@ def _more_starts(rows: DataFrame, medians: DataFrame) -> DataFrame:
     u = [(F.col(z) / UNIT - F.col(f"m_{i}")) / F.sqrt(F.col(f"c_{i}_{i}")) for i, z in enumerate(Z)]
     far = sum((x * x for x in u[1:]), u[0] * u[0])
     turned = [F.round(u[i] * u[j] / F.greatest(far, F.lit(1e-9)) * TURN).cast("bigint") for i, j in PAIRS]
-    named = rows.join(medians, POOL).withColumns({f"t_{i}_{j}": t for (i, j), t in zip(PAIRS, turned, strict=True)})
+    named = rows.join(broadcast_if_small(medians, ROW_BYTES), POOL).withColumns({f"t_{i}_{j}": t for (i, j), t in zip(PAIRS, turned, strict=True)})
     tot = named.groupBy(*POOL).agg(
         F.max("n").alias("n"), *[F.max(f"m_{i}").alias(f"m_{i}") for i in range(P)],
         *[F.sqrt(F.max(f"c_{i}_{i}")).alias(f"d_{i}") for i in range(P)], *_sums(),
@@ -206,7 +208,7 @@ def _sums() -> list[Column]:
 def _step(rows: DataFrame, at: DataFrame) -> DataFrame:
     """Mean and covariance of the nearest share of each pool, for each start. Rows are summed by distance bin; the bin in which
     the share is reached counts in part, so the weights add up to the share without a sort or an approximate quantile."""
-    near = rows.join(at.select(*POOL, "start", *[f"m_{i}" for i in range(P)], *[f"i_{i}_{j}" for i, j in PAIRS]), POOL)
+    near = rows.join(broadcast_if_small(at.select(*POOL, "start", *[f"m_{i}" for i in range(P)], *[f"i_{i}_{j}" for i, j in PAIRS]), ROW_BYTES), POOL)
     bins = near.withColumn("bin", F.floor(F.log(F.greatest(_distance(), F.lit(0.0)) + 1e-3) * BINS_PER_E)).groupBy(
         *POOL, "start", "bin").agg(F.count("*").alias("n"), *_sums())
     of = Window.partitionBy(*POOL, "start")
@@ -249,11 +251,11 @@ def mcd(rows: DataFrame) -> DataFrame:
 
 
 def _drawn(est: DataFrame, towards: DataFrame, up: str) -> DataFrame:
-    """``est`` drawn towards the estimate of the row of ``towards`` whose language is in ``up``."""
+    """``est`` drawn towards the estimate of the row of ``towards`` whose language is in the column ``up``."""
     named = [f"m_{i}" for i in range(P)] + [f"c_{i}_{j}" for i, j in PAIRS]
     other = towards.select(F.col("__q_lang").alias("up"), *[F.col(c).alias(f"up_{c}") for c in named])
     w = F.col("n") / (F.col("n") + PRIOR)
-    return est.withColumn("up", F.expr(up)).join(other, "up").select(*POOL, "n", *[
+    return est.withColumn("up", F.col(up)).join(other, "up").select(*POOL, "n", *[
         (w * F.col(c) + (1 - w) * F.col(f"up_{c}")).alias(c) for c in named])
 
 
@@ -264,7 +266,7 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
         (lang, source), (lang, F.lit(ALL)), (F.lit(ALL), F.lit(ALL)))])
     best = stage(mcd(vectors.select(F.inline(pools), *Z)), "quality-best")
     of_all, of_lang = best.where(lang == ALL), best.where((lang != ALL) & (source == ALL))
-    langs = stage(_drawn(of_lang, of_all, f"'{ALL}'"), "quality-languages")
+    langs = stage(_drawn(of_lang, of_all, "__q_source"), "quality-languages")
     groups = stage(_drawn(best.where(source != ALL), langs, "__q_lang"), "quality-groups")
     return stage(_inverse(groups), "quality-final").select(*POOL, *[f"m_{i}" for i in range(P)], *[f"i_{i}_{j}" for i, j in PAIRS])
 
@@ -301,7 +303,7 @@ def _with_vector(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
 def _verdicts(rows: DataFrame) -> DataFrame:
     est = mcd_estimates(rows.where(~F.col("base_failed")).select(*POOL, *Z))
-    judged = rows.join(est, POOL, "left")
+    judged = rows.join(broadcast_if_small(est, ROW_BYTES), POOL, "left")
     out = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance())).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (*POOL, *Z)], "distance", "kept")
