@@ -11,8 +11,9 @@ blocks of ``MIN_WORDS`` words or more are deleted from the later document.
 
 Every line that is deleted stands in an earlier document, so the first holder of a block always keeps it.
 
-Scale: one pass makes 8-byte hashes of lines and runs, which are staged. Only runs that two documents share are joined
-on; pairs carry line hashes, not texts. Texts are read a second time, and only those that lose lines go through
+Scale: one pass makes 8-byte hashes of lines, which are staged; runs are derived from them where they are needed and move as
+(run, document) of 16 bytes. One aggregation, with partial sums, finds the first holder of each run that comes twice; only those are joined
+on. Pairs carry line hashes, not texts. Texts are read a second time, and only those that lose lines go through
 Python. A run or a first document that many share makes a skewed join, which Spark splits, as each side is joined by one key.
 """
 
@@ -44,6 +45,10 @@ _PLACE = np.cumprod(np.full(1024, _BASE))
 _LOW = np.uint64(0xFFFFFFFF)
 #: Texts are hashed together up to so many characters.
 CHARS = 200_000
+#: Runs go back to Spark in batches of so many.
+ROWS = 50_000
+#: Counted bytes up to which a side of a join is broadcast.
+BROADCAST = 32 << 20
 
 
 def cut_lines(text: str) -> list[str]:
@@ -259,7 +264,7 @@ def common_blocks(later: list[int], sizes: list[int], first: list[int], first_si
     return sorted(cut)
 
 
-LINES = "doc_id bigint, text_hash bigint, `key` bigint, hashes array<bigint>, sizes array<int>, runs array<bigint>"
+LINES = "doc_id bigint, text_hash bigint, hashes array<bigint>, sizes array<int>"
 
 
 def _listed(values: np.ndarray, many: np.ndarray) -> pa.ListArray:
@@ -271,26 +276,34 @@ def _unlisted(lists: pa.ListArray) -> list[list[int]]:
     return [values[i:j] for i, j in pairwise(at)]
 
 
-def _hash_lines(least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("hashes", pa.list_(pa.int64())),
-                        ("sizes", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
-
+def _hash_lines(batches):
+    """Hashes and sizes of the lines of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        at = 0
+        while at < len(texts):
+            stop, chars = at + 1, len(texts[at])
+            while stop < len(texts) and chars + len(texts[stop]) <= CHARS:
+                chars += len(texts[stop])
+                stop += 1
+            hashes, sizes, lines = _lines(texts[at:stop])
+            b = batch.slice(at, stop - at)
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), b.column("text_hash"), _listed(hashes, lines), _listed(sizes.astype(np.int32), lines)], schema=schema)
+            at = stop
+
+
+def _all_runs(least: int):
+    """(run, n): every run of every document."""
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, chars = at + 1, len(texts[at])
-                while stop < len(texts) and chars + len(texts[stop]) <= CHARS:
-                    chars += len(texts[stop])
-                    stop += 1
-                hashes, sizes, lines = _lines(texts[at:stop])
-                found, many = _runs(hashes, sizes, lines, least)
-                b = batch.slice(at, stop - at)
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("text_hash"), b.column("key"), _listed(hashes, lines), _listed(sizes.astype(np.int32), lines),
-                    _listed(found, many)], schema=schema)
-                at = stop
+        for b in batches:
+            hashes, sizes = b.column("hashes"), b.column("sizes")
+            lines = np.diff(hashes.offsets.to_numpy())
+            found, many = _runs(hashes.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), lines, least)
+            n = np.repeat(b.column("n").to_numpy(), many)
+            for at in range(0, len(found), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + ROWS]), pa.array(n[at : at + ROWS])], names=["run", "n"])
 
     return run
 
@@ -306,24 +319,37 @@ def _align(least: int):
     return run
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``n``, which rises in the order of documents, and one row of equal documents.
+
+    Where no id is null or comes twice, ``n`` is the id. Else documents are sorted and numbered, null ids last, rows of one id
+    by the hash of their text, and the table is staged anew.
+    """
+    if lines.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").isEmpty():
+        return lines.select(F.col("doc_id").alias("n"), "*")
+    one = lines.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
+    order = one.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash").select("row", F.monotonically_increasing_id().alias("n"))
+    return stage(lines.join(broadcast_if_small(stage(order, "lines-order"), 16, BROADCAST), "row"), "lines-numbered")
+
+
 def duplicate_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, cut): the lines to delete, as numbers among a document's lines with words; documents with none are left out."""
     docs = documents.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text_hash"))
-    lines = stage(docs.mapInArrow(_hash_lines(least), LINES), "lines")
-    spread = lines.select("key", "doc_id", "text_hash", F.explode("runs").alias("run"))
-    shared = spread.groupBy("run").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("run")
-    shared = broadcast_if_small(stage(shared, "lines-shared"), 16)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "key")
-    held = stage(spread.join(shared, "run", "left_semi").select("run", order.alias("o")), "lines-held")
-    # Staged, so that the join below is one of its own, which Spark can split at a run that many documents hold.
-    first = broadcast_if_small(stage(held.groupBy("run").agg(F.min("o").alias("first")), "lines-first"), 48)
-    pairs = held.join(first, "run").where("o.key <> first.key").select(
-        F.col("o.key").alias("key"), F.col("first.key").alias("first")).distinct()
-    own = lines.select("key", "doc_id", "text_hash", "hashes", "sizes").dropDuplicates(["key"])
-    own = stage(own.join(broadcast_if_small(stage(held.select("o.key").distinct(), "lines-keys"), 16), "key", "left_semi"), "lines-own")
-    both = stage(pairs, "lines-pairs").join(own, "key").join(own.select(
-        F.col("key").alias("first"), F.col("hashes").alias("first_hashes"), F.col("sizes").alias("first_sizes")), "first")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    lines = _numbered(stage(docs.mapInArrow(_hash_lines, LINES).withColumn("row", F.monotonically_increasing_id()), "lines"))
+    spread = lines.select("n", "hashes", "sizes").mapInArrow(_all_runs(least), "run bigint, n bigint")
+    # A run that only one document has, twice, meets no later document below.
+    first = spread.groupBy("run").agg(F.min("n").alias("first"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    first = broadcast_if_small(stage(first, "lines-first"), 16, BROADCAST)
+    pairs = stage(spread.join(first, "run").where("n <> first").select("n", "first").distinct(), "lines-pairs")
+    paired = stage(pairs.select("n").union(pairs.select("first")).distinct(), "lines-paired")
+    own = lines.select("n", "doc_id", "text_hash", "hashes", "sizes")
+    if paired.count() * 16 <= BROADCAST:
+        own = own.join(F.broadcast(paired), "n", "left_semi")
+    else:  # staged, so that Spark can split the joins below at a document that many are paired with
+        own = stage(own.join(paired, "n", "left_semi"), "lines-own")
+    both = pairs.join(own, "n").join(own.select(
+        F.col("n").alias("first"), F.col("hashes").alias("first_hashes"), F.col("sizes").alias("first_sizes")), "first")
     cuts = both.mapInArrow(_align(least), "doc_id bigint, text_hash bigint, cut array<int>").where(F.size("cut") > 0)
     return cuts.groupBy("doc_id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
@@ -353,7 +379,7 @@ def dedup_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", l
     cuts = stage(duplicate_lines(documents, doc, text, least), "lines-cuts").select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
     size = cuts.agg(F.sum(F.size("__cut") * 4 + 32)).first()[0] or 0
-    cuts = F.broadcast(cuts) if size <= 32 << 20 else cuts
+    cuts = F.broadcast(cuts) if size <= BROADCAST else cuts
     same = documents[doc].cast("bigint").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(documents[text], F.lit(""))) == F.col("__hash"))
     joined = documents.join(cuts, same, "left").drop("__doc", "__hash")
     whole = joined.where(F.col("__cut").isNull()).drop("__cut")

@@ -146,3 +146,85 @@ def test_texts_hashed_together_have_the_lines_and_runs_of_each():
         own = line_hashes(t)
         assert (hashes[at : at + lines[k]].tolist(), sizes[at : at + lines[k]].tolist()) == own
         assert found[run : run + many[k]].tolist() == runs(*own)
+
+
+def plain_lines(text):
+    return [" ".join(x.split()) for x in cut_lines(text or "")[::2] if x.split()]
+
+
+def plain_blocks(later, earlier, least=25):
+    """Lines of ``later`` in its longest common blocks with ``earlier`` of ``least`` words, from every pair of places."""
+    out = set()
+    for i in range(len(later)):
+        for j in range(len(earlier)):
+            if i and j and later[i - 1] == earlier[j - 1]:
+                continue
+            k = 0
+            while i + k < len(later) and j + k < len(earlier) and later[i + k] == earlier[j + k]:
+                k += 1
+            if sum(len(x.split()) for x in later[i : i + k]) >= least:
+                out.update(range(i, i + k))
+    return out
+
+
+def plain_cuts(rows):
+    """Of (id, text) rows: the lines of each document that a run shared with an earlier one covers, and those in a common block
+    with any earlier one. Lines are compared as strings and documents one by one."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    lines = [plain_lines(t) for _, t in order]
+    needed, allowed = {}, {}
+    for d, later in enumerate(lines):
+        allowed[order[d]] = set().union(*(plain_blocks(later, lines[e]) for e in range(d)))
+        held = {tuple(lines[e][j:k]) for e in range(d) for j in range(len(lines[e])) for k in range(j + 1, min(j + 27, len(lines[e]) + 1))}
+        need = needed[order[d]] = set()
+        for i in range(len(later)):
+            words = 0
+            for k in range(i, len(later)):
+                words += len(later[k].split())
+                if words >= 25:
+                    if tuple(later[i : k + 1]) in held:
+                        need.update(range(i, k + 1))
+                    break
+    return needed, allowed
+
+
+def check_plain(docs_of, rows):
+    needed, allowed = plain_cuts(rows)
+    hashed = {(r.doc_id, r.h): (r.doc_id, r.text) for r in docs_of(rows).selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()}
+    got = {hashed[r.doc_id, r.text_hash]: set(r.cut) for r in duplicate_lines(docs_of(rows)).collect()}
+    for key, need in needed.items():
+        assert need <= got.get(key, set()) <= allowed[key], key
+    assert got.keys() <= needed.keys()
+    return got, allowed
+
+
+def mixed_rows(ids):
+    pool = [prose(R.randint(3, 7)) for _ in range(12)]
+    return [(d, " ".join(x for _ in range(R.randint(1, 4)) for x in (prose(R.randint(1, 3)), R.choice(pool)))) for d in ids]
+
+
+def test_cuts_equal_those_of_all_earlier_documents(docs_of):
+    rows = mixed_rows(range(70))
+    rows += [(100 + d, rows[R.randrange(70)][1]) for d in range(10)] + [(200, prose(9)), (201, ""), (202, "x")]
+    got, allowed = check_plain(docs_of, rows)
+    assert sum(map(len, got.values())) >= 0.98 * sum(map(len, allowed.values())) > 100
+
+
+def test_cuts_with_one_id_for_many_rows_null_ids_and_repeated_rows(docs_of):
+    rows = mixed_rows([1, 2, 3, 4])
+    texts = [t for _, t in mixed_rows(range(8))]
+    same = [(5, t) for t in texts] + [(None, t) for t in texts]
+    got, _ = check_plain(docs_of, rows + rows[:2] * 30 + [(9, rows[0][1])] * 30 + [(None, rows[1][1])] * 30)
+    assert not {(1, rows[0][1]), *rows[:1]} & got.keys() and len(got[None, rows[1][1]]) == len(plain_lines(rows[1][1]))
+    left = [(r.doc_id, r.text) for r in dedup_lines(docs_of(same)).collect()]
+    assert all(d is not None for d, _ in left)
+    kept = " ".join(" ".join(t.split()) for _, t in left)
+    assert all(max(x.count(" ") for x in plain_lines(t)) < 200 and sum(x in kept for x in plain_lines(t)) == len(plain_lines(t)) for t in texts)
+
+
+def test_joined_by_shuffles_as_by_broadcasts(docs_of, monkeypatch):
+    from capindex.llm import linededup
+    rows = mixed_rows(range(40)) + [(41, prose(5))] * 2
+    was = sorted(map(tuple, duplicate_lines(docs_of(rows)).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST", 0)
+    assert sorted(map(tuple, duplicate_lines(docs_of(rows)).collect())) == was != []
