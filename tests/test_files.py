@@ -77,6 +77,24 @@ def test_the_ledger_stays_where_it_is(spark, tmp_path):
     assert store.read_store(spark, f"{root}/store").count() == 4
 
 
+def test_files_without_lines_are_in_the_ledger(spark, tmp_path):
+    root, inbox = str(tmp_path / "root"), tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.cdx").write_text(lines("a") + "broken line\n")
+    (inbox / "bad.cdx").write_text("not a header\n" + LINE.format("e") + "\n")
+    (inbox / "e [1] %41 é.cdx").write_bytes(b"")
+    (inbox / "e.cdx.gz").write_bytes(gzip.compress(b""))
+    report = {r.file_path.rsplit("/", 1)[1][:3]: r for r in ingest_files(spark, str(inbox), root).collect()}
+    assert {n: (r.header_ok, r.lines, r.accepted, r.column_count, r.missing_required, r.months) for n, r in report.items()} == {
+        "a.c": (True, 2, 1, 1, 0, ["202001"]), "bad": (False, 2, 1, 1, 0, ["202001"]),
+        "e%2": (False, 0, 0, 0, 0, []), "e.c": (False, 0, 0, 0, 0, [])}
+    assert spark.read.parquet(f"{root}/ledger").count() == 4 and read_rejects(spark, root, 1).count() == 1
+    assert ingest_files(spark, str(inbox), root) is None  # nothing is new
+    (inbox / "f.cdx").write_bytes(b"")
+    assert [(r.header_ok, r.lines) for r in ingest_files(spark, str(inbox), root).collect()] == [(False, 0)]
+    assert ingest_files(spark, str(inbox), root) is None and store.read_store(spark, f"{root}/store").count() == 1
+
+
 def test_wildcards_and_literal_characters(spark):
     urls = ["com,a)/x_1", "com,a)/xa1", "com,a)/100%", "com,a)/100x", "com,a)/a*b", "com,a)/azb", "com,a)/q?x", "com,a)/q\\x", "org,a)/x_1"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
